@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import FEATURE_CATEGORIES
 from .url import (
     IPV4_RE, char_ngrams, clean_url, empty_strings, host_of_netloc, if_array, labels_of, query_pairs, split_alnum,
-    split_parts, strings, with_evidence_parts, with_url_parts,
+    split_clean_parts, split_parts, strings, with_evidence_parts, with_url_parts,
 )
 
 TOKEN_FALLBACK = "empty_or_invalid_url"
@@ -35,10 +35,10 @@ def with_tokens(df: DataFrame, url: str = "url", out: str = "tokens") -> DataFra
     def host_tokens(x, i):
         kind = F.when(i == n - 1, "tldpart:").when(i == n - 2, "sld:").otherwise("subdomain:")
         return F.concat(F.array(F.concat(kind, x), F.concat(F.lit("domain:"), x)),
-                        _prefixed("dpart", split_parts(x)))
+                        _prefixed("dpart", split_clean_parts(x)))
 
     def path_tokens(x):
-        return F.concat(F.array(F.concat(F.lit("path:"), x)), _prefixed("pseg", split_parts(x)))
+        return F.concat(F.array(F.concat(F.lit("path:"), x)), _prefixed("pseg", split_clean_parts(x)))
 
     def pair_tokens(x):
         return F.concat(

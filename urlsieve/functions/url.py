@@ -80,6 +80,11 @@ def split_parts(c: Column) -> Column:
     return split_alnum(clean_url(c), 2)
 
 
+def split_clean_parts(c: Column) -> Column:
+    """split_parts of a text that clean_url and lower have passed: only a residual "%" needs cleaning again."""
+    return split_alnum(F.when(F.contains(c, F.lit("%")), clean_url(c)).otherwise(c), 2)
+
+
 def char_ngrams(part: Column) -> Column:
     """All 3-grams, then all 4-grams of a part with at least 4 characters, prefixed char:."""
     low = F.lower(part)
@@ -204,3 +209,12 @@ def with_evidence_parts(df: DataFrame, url: str = "url") -> DataFrame:
             .withColumn("extension", F.when(F.contains("last_segment", F.lit(".")),
                                             F.substring_index("last_segment", ".", -1)))
             .drop("_target", "fragment"))
+
+
+def exploded(df: DataFrame, items, name: str, *keep) -> DataFrame:
+    """One row per array element, in column `name`, next to `keep`; empty arrays give no row.
+
+    An inner explode makes the optimizer infer a filter on the array's size and push it down, which
+    repeats the whole expression behind `items`. The outer form with a filter afterwards does not.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())

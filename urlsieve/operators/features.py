@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.url import clean_url
+from ..functions.url import clean_url, exploded
 from ..session import broadcast_if
 
 # Every character set a URL can hold is far below this many code points.
@@ -20,7 +20,7 @@ def char_vocabulary(urls: DataFrame, url: str = "url") -> DataFrame:
     Counts are pre-aggregated before the shuffle. The ranking window has no partition key, but its input
     is one row per distinct character, a number Unicode bounds.
     """
-    chars = urls.select(F.explode(F.split(clean_url(F.col(url)), "")).alias("ch")).filter("ch <> ''")
+    chars = exploded(urls, F.split(clean_url(F.col(url)), ""), "ch").filter("ch <> ''")
     counts = chars.groupBy("ch").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.orderBy(F.desc("n"), "ch"))
     return counts.select("ch", "n", (rank + K.CHAR_CLS).cast("long").alias("id"))

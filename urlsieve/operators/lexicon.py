@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.terms import valid_learned_term, valid_text_term
+from ..functions.url import exploded
 from ..functions.tokens import feature_prefix, feature_value
 
 COMMON = "common"
@@ -41,7 +42,7 @@ def token_df(df: DataFrame, classes: list[str], tokens: str = "tokens", label: s
     documents costs one row per task.
     """
     keys = list(by or []) + ["token"]
-    long = df.select(*keys[:-1], F.col(label).alias("_label"), F.explode(F.array_distinct(tokens)).alias("token"))
+    long = exploded(df, F.array_distinct(tokens), "token", *keys[:-1], F.col(label).alias("_label"))
     return long.groupBy(*keys).agg(
         F.count("*").alias("total_df"),
         *[F.count_if(F.col("_label") == c).alias("df_" + c) for c in classes])
@@ -162,8 +163,7 @@ def lexicon_from_dictionary(dictionary: DataFrame, metadata: bool) -> DataFrame:
     categories = (F.when(prefix == "ext", F.array(F.lit("risk_extensions")))
                   .when(prefix == "tld", F.array(F.lit("risk_tlds")))
                   .when(is_term, F.array_distinct(F.array(target, F.lit("risk_terms")))))
-    learned = dictionary.filter(score >= threshold).select(
-        F.explode(categories).alias("category"), value.alias("term"))
+    learned = exploded(dictionary.filter(score >= threshold), categories, "category", value.alias("term"))
     fixed = {"compressed_extensions": K.COMPRESSED_EXTENSIONS}
     if metadata:
         fixed["impersonation_targets"] = K.IMPERSONATION_TARGETS

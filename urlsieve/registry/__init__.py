@@ -20,6 +20,8 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     from . import (  # noqa: F401
+        evidence_queries,
         lexicon_queries,
+        page_queries,
         url_queries,
     )

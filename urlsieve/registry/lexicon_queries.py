@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import terms as TM
 from ..functions import tokens as T
+from ..functions.url import exploded
 from ..operators import lexicon as L
 from . import register, views
 from .sqltext import add, inlist, lit, query
@@ -145,7 +146,7 @@ def term_valid_text(spark, sf):
 
 
 def _words(spark, sf):
-    d = views.table(spark, sf, "documents").select(F.explode(F.split("text", r"\s+")).alias("term"))
+    d = exploded(views.table(spark, sf, "documents"), F.split("text", r"\s+"), "term")
     return d.groupBy("term").agg(F.count("*").alias("n"))
 
 

@@ -27,7 +27,7 @@ def url_clean(spark, sf):
     f"SELECT row_id, p AS part, count(*) AS n FROM (SELECT row_id, unnest({split('dec', 2)}) AS p FROM url_c) "
     "GROUP BY ALL", "url_c"))
 def url_split_parts(spark, sf):
-    d = views.urls(spark, sf).select("row_id", F.explode(U.split_parts(F.col("url"))).alias("part"))
+    d = U.exploded(views.urls(spark, sf), U.split_parts(F.col("url")), "part", "row_id")
     return d.groupBy("row_id", "part").agg(F.count("*").alias("n"))
 
 
@@ -38,7 +38,7 @@ def url_split_parts(spark, sf):
 def url_char_ngrams(spark, sf):
     parts = U.split_parts(U.clean_url(F.col("url")))
     grams = F.flatten(F.transform(F.filter(parts, lambda x: F.length(x) >= 6), U.char_ngrams))
-    d = views.urls(spark, sf).select("row_id", F.explode(grams).alias("gram"))
+    d = U.exploded(views.urls(spark, sf), grams, "gram", "row_id")
     # Count per URL first: the distinct count then needs no second expansion of hot n-grams.
     d = d.groupBy("gram", "row_id").agg(F.count("*").alias("n"))
     return d.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("urls"))
@@ -93,8 +93,9 @@ def url_host_anatomy(spark, sf):
        SELECT row_id, unnest(pairs) AS p, generate_subscripts(pairs, 1) - 1 AS pos FROM ev_p)""", "ev_p"))
 def url_query_pairs(spark, sf):
     d = U.with_evidence_parts(views.urls(spark, sf))
-    d = d.select("row_id", F.posexplode(U.query_pairs(F.col("query"))).alias("pos", "p"))
-    return d.select("row_id", F.col("pos").cast("long").alias("pos"), "p.key", "p.value")
+    numbered = F.transform(U.query_pairs(F.col("query")), lambda p, i: F.struct(
+        i.cast("long").alias("pos"), p["key"].alias("key"), p["value"].alias("value")))
+    return U.exploded(d, numbered, "p", "row_id").select("row_id", "p.pos", "p.key", "p.value")
 
 
 @register("url_tokens", query(
@@ -117,7 +118,7 @@ VALUE_SQL = "CASE WHEN strpos(token, ':') = 0 THEN token ELSE substr(token, strp
     f"""SELECT token, split_part(token, ':', 1) AS prefix, {VALUE_SQL} AS value, {_CATEGORY_SQL} AS category,
        count(*) AS urls FROM tok GROUP BY ALL""", "tok"))
 def url_feature_catalog(spark, sf):
-    d = T.with_tokens(views.urls(spark, sf)).select(F.explode(F.array_distinct("tokens")).alias("token"))
+    d = U.exploded(T.with_tokens(views.urls(spark, sf)), F.array_distinct("tokens"), "token")
     d = d.groupBy("token").agg(F.count("*").alias("urls"))
     c = F.col("token")
     return d.select("token", T.feature_prefix(c).alias("prefix"), T.feature_value(c).alias("value"),
