@@ -21,7 +21,9 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         evidence_queries,
+        feature_queries,
         lexicon_queries,
+        model_queries,
         page_queries,
         url_queries,
     )
