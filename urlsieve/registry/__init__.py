@@ -24,6 +24,7 @@ def load_all() -> None:
         feature_queries,
         lexicon_queries,
         model_queries,
+        progressive_queries,
         page_queries,
         url_queries,
     )
