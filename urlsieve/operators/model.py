@@ -208,3 +208,10 @@ def specialist_scores(model, df: DataFrame) -> DataFrame:
     """Add t_prob, the specialist's phishing probability."""
     d = model.transform(with_grams(df))
     return d.select(*df.columns, vector_to_array("probability")[1].alias("t_prob"))
+
+
+def specialist_weights(spark, model) -> DataFrame:
+    """(gram, weight) of a fitted specialist; the vocabulary limit bounds its rows."""
+    vectorizer, regression = model.stages
+    pairs = zip(vectorizer.vocabulary, regression.coefficients.toArray().tolist())
+    return spark.createDataFrame(list(pairs), "gram string, weight double")

@@ -21,6 +21,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         evidence_queries,
+        explain_queries,
         feature_queries,
         lexicon_queries,
         model_queries,

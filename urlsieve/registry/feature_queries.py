@@ -39,7 +39,6 @@ _scopes = ["common", *K.MALICIOUS]
 add("riskf", "SELECT row_id, " + ", ".join(
     f"coalesce(sum(score) FILTER (scope = '{s}'), 0e0) AS {s}_score, count(score) FILTER (scope = '{s}') AS {s}_count"
     for s in _scopes) + " FROM tok_ids LEFT JOIN dict_a USING (token) GROUP BY row_id", "tok_ids", "dict_a")
-add("tok_ids", "SELECT row_id, token FROM tok", "tok")
 ADAPTIVE_ROWS = L.max_rows(K.ADAPTIVE_PROFILE)
 
 

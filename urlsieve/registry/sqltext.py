@@ -104,6 +104,7 @@ FROM (SELECT *, {_tokens} AS toks
                    {split('c2', 2)} AS tparts
             FROM url_p))""",
     "tok": "SELECT row_id, type, unnest(list_distinct(tokens)) AS token FROM url_tok",
+    "tok_ids": "SELECT row_id, token FROM tok",
     # evidence-side parts
     "ev_p": f"""SELECT *, coalesce(labels[-1], '') AS tld, coalesce(labels[-2], '') AS sld,
        CASE WHEN len(labels) >= 3 THEN labels[1:len(labels) - 2] ELSE []::VARCHAR[] END AS sub_labels,
@@ -124,7 +125,7 @@ FROM (SELECT row_id, url, type, url_decode(lower(trim(url))) AS dec0,
 }
 
 NEEDS: dict[str, list[str]] = {
-    "probs": ["urls"], "url_c": ["urls"], "url_p": ["url_c"], "url_tok": ["url_p"], "tok": ["url_tok"],
+    "probs": ["urls"], "url_c": ["urls"], "url_p": ["url_c"], "url_tok": ["url_p"], "tok": ["url_tok"], "tok_ids": ["tok"],
     "ev_p": ["urls"],
 }
 
