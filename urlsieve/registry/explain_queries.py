@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numbers import fixed
 from ..functions.tokens import with_tokens
 from ..functions.url import exploded
 from ..operators import decide as D
@@ -66,9 +67,9 @@ add("xd", f"""SELECT *, greatest(d_common, cls) AS raw,
     FROM xsal x JOIN xb b USING (row_id) LEFT JOIN wide USING (token) LEFT JOIN scopemax p ON p.scope = b.prediction
     LEFT JOIN casescore c ON c.row_id = x.row_id AND c.token = x.token)""", "xsal", "xb", "wide", "scopemax", "casescore")
 _low = f"low IN {inlist(K.LOW_INFORMATION_DISPLAYS)}"
-add("xs", f"""SELECT row_id, prediction, token, display, low, category, cnt, round(sal, 4) AS sal, round(dscore, 4) AS dscore,
-  dsource, round(cscore, 4) AS cscore, round(factor, 4) AS factor, round(score, 4) AS score,
-  CASE WHEN round(dscore, 4) > 0 OR round(cscore, 4) > 0 THEN 'strong'
+add("xs", f"""SELECT row_id, prediction, token, display, low, category, cnt, round((sal)::DECIMAL(18, 9), 4)::DOUBLE AS sal, round((dscore)::DECIMAL(18, 9), 4)::DOUBLE AS dscore,
+  dsource, round((cscore)::DECIMAL(18, 9), 4)::DOUBLE AS cscore, round((factor)::DECIMAL(18, 9), 4)::DOUBLE AS factor, round((score)::DECIMAL(18, 9), 4)::DOUBLE AS score,
+  CASE WHEN round((dscore)::DECIMAL(18, 9), 4)::DOUBLE > 0 OR round((cscore)::DECIMAL(18, 9), 4)::DOUBLE > 0 THEN 'strong'
        WHEN factor > 1 AND NOT {_low} AND (token IN {inlist(K.HIGH_RISK_FEATURES)} OR low IN {inlist(K.RISK_AMPLIFIER_WORDS)}
             OR token IN ('tok:https', 'tld:https')) THEN 'medium' ELSE 'weak' END AS strength,
   trim(display) <> '' AND category <> 'character_ngram' AND NOT {_low} AND length(trim(display)) > 1 AS meaningful
@@ -115,68 +116,68 @@ def explained_tokens(spark, sf, dict_df):
 
 
 @register("similar_cases", query(
-    "SELECT row_id, rank::INTEGER AS rank, case_id, label, round(similarity, 6) AS similarity FROM sim", "sim"))
+    "SELECT row_id, rank::INTEGER AS rank, case_id, label, round((similarity)::DECIMAL(18, 9), 6)::DOUBLE AS similarity FROM sim", "sim"))
 def similar_cases(spark, sf):
     d = S.similar_cases(with_tokens(views.urls(spark, sf)), cases(spark, sf))
     ranked = F.transform("cases", lambda c, i: F.struct((i + 1).alias("rank"), c["case_id"].alias("case_id"),
-                                                       c["label"].alias("label"), F.round(c["similarity"], 6).alias("similarity")))
+                                                       c["label"].alias("label"), fixed(c["similarity"], 6).alias("similarity")))
     return exploded(d, ranked, "c", "row_id").select("row_id", "c.*")
 
 
-@register("case_token_scores", query("SELECT row_id, token, round(score, 6) AS score FROM casescore", "casescore"))
+@register("case_token_scores", query("SELECT row_id, token, round((score)::DECIMAL(18, 9), 6)::DOUBLE AS score FROM casescore", "casescore"))
 def case_token_scores(spark, sf):
     d = with_tokens(decided(spark, sf).select("row_id", "url", "prediction"))
     d = S.similar_cases(d, cases(spark, sf))
     scored = F.transform(F.array_distinct("tokens"), lambda t: F.struct(
-        t.alias("token"), F.round(S.case_score(t, F.col("cases"), F.col("prediction")), 6).alias("score")))
+        t.alias("token"), fixed(S.case_score(t, F.col("cases"), F.col("prediction")), 6).alias("score")))
     return exploded(d, scored, "s", "row_id").select("row_id", "s.*").filter("score > 0")
 
 
-@register("xai_char_saliency", query("SELECT row_id, pos::INTEGER AS pos, round(s, 6) AS score FROM salpos", "salpos"))
+@register("xai_char_saliency", query("SELECT row_id, pos::INTEGER AS pos, round((s)::DECIMAL(18, 9), 6)::DOUBLE AS score FROM salpos", "salpos"))
 def xai_char_saliency(spark, sf):
-    scores = F.transform("char_scores", lambda s, i: F.struct((i + 1).alias("pos"), F.round(s, 6).alias("score")))
+    scores = F.transform("char_scores", lambda s, i: F.struct((i + 1).alias("pos"), fixed(s, 6).alias("score")))
     return exploded(saliency(spark, sf), scores, "c", "row_id").select("row_id", "c.*")
 
 
-@register("xai_substring", query("SELECT row_id, token, round(sal, 6) AS saliency FROM xsal", "xsal"))
+@register("xai_substring", query("SELECT row_id, token, round((sal)::DECIMAL(18, 9), 6)::DOUBLE AS saliency FROM xsal", "xsal"))
 def xai_substring(spark, sf):
     d = with_tokens(views.urls(spark, sf)).join(saliency(spark, sf), "row_id")
     items = F.transform(F.array_distinct("tokens"), lambda t: F.struct(
-        t.alias("token"), F.round(X.substring_score(F.col("text"), F.col("char_scores"), X.feature_value(t)), 6)
+        t.alias("token"), fixed(X.substring_score(F.col("text"), F.col("char_scores"), X.feature_value(t)), 6)
         .alias("saliency")))
     return exploded(d, items, "i", "row_id").select("row_id", "i.*")
 
 
 @register("xai_dictionary", query(
-    """SELECT row_id, token, prediction, round(raw, 6) AS raw_score, round(dscore, 6) AS score, dsource AS source
+    """SELECT row_id, token, prediction, round((raw)::DECIMAL(18, 9), 6)::DOUBLE AS raw_score, round((dscore)::DECIMAL(18, 9), 6)::DOUBLE AS score, dsource AS source
        FROM xd WHERE raw > 0""", "xd"))
 def xai_dictionary(spark, sf):
     d = with_tokens(decided(spark, sf).select("row_id", "url", "prediction"))
     t = X.dictionary_scores(X.token_rows(d, dictionary(spark, sf), L.max_rows(K.REBUILD_PROFILE, True)))
     return t.filter("dictionary_raw_score > 0").select(
-        "row_id", F.col("feature").alias("token"), "prediction", F.round("dictionary_raw_score", 6).alias("raw_score"),
-        F.round("dictionary_score", 6).alias("score"), F.col("dictionary_source").alias("source"))
+        "row_id", F.col("feature").alias("token"), "prediction", fixed(F.col("dictionary_raw_score"), 6).alias("raw_score"),
+        fixed(F.col("dictionary_score"), 6).alias("score"), F.col("dictionary_source").alias("source"))
 
 
-@register("xai_rule_factor", query(f"SELECT token, round({_factor}, 6) AS factor, count(*) AS n FROM xt0 GROUP BY ALL", "xt0"))
+@register("xai_rule_factor", query(f"SELECT token, round(({_factor})::DECIMAL(18, 9), 6)::DOUBLE AS factor, count(*) AS n FROM xt0 GROUP BY ALL", "xt0"))
 def xai_rule_factor(spark, sf):
     t = exploded(with_tokens(views.urls(spark, sf)), F.array_distinct("tokens"), "token")
     t = t.groupBy("token").agg(F.count("*").alias("n"))
     factor, _ = X.rule_factor(F.col("token"), X.feature_value(F.col("token")))
-    return t.select("token", F.round(factor, 6).alias("factor"), "n")
+    return t.select("token", fixed(factor, 6).alias("factor"), "n")
 
 
 _best3 = "greatest(d_phishing, d_defacement, d_malware)"
 _lab = "CASE " + " ".join(f"WHEN d_{c} = {_best3} THEN '{c}'" for c in K.DECISION_ORDER) + " END"
-add("xal", f"""SELECT *, round(al, 4) AS ral, row_number() OVER (PARTITION BY row_id ORDER BY round(al, 4) DESC, token) AS r
+add("xal", f"""SELECT *, round((al)::DECIMAL(18, 9), 4)::DOUBLE AS ral, row_number() OVER (PARTITION BY row_id ORDER BY round((al)::DECIMAL(18, 9), 4)::DOUBLE DESC, token) AS r
   FROM (SELECT row_id, token, {_lab} AS lab, {_best3} AS best,
     least(1e0, sal * least(1e0, greatest(d_common, {_best3}) / greatest(1e0, (SELECT max(m) FROM scopemax)))) AS al
     FROM xd WHERE sal > 0 AND greatest(d_common, {_best3}) > 0)""", "xd", "scopemax")
 
 
 @register("xai_alignment", query(
-    "SELECT row_id, round(avg(ral) FILTER (r <= 5), 4) AS alignment_score, "
-    + ", ".join(f"round(coalesce(max(al) FILTER (lab = '{c}' AND best > 0), 0e0), 4) AS align_{c}" for c in K.MALICIOUS)
+    "SELECT row_id, round((avg(ral) FILTER (r <= 5))::DECIMAL(18, 9), 4)::DOUBLE AS alignment_score, "
+    + ", ".join(f"round((coalesce(max(al) FILTER (lab = '{c}' AND best > 0), 0e0))::DECIMAL(18, 9), 4)::DOUBLE AS align_{c}" for c in K.MALICIOUS)
     + " FROM xal GROUP BY row_id", "xal"))
 def xai_alignment(spark, sf):
     d = with_tokens(decided(spark, sf).select("row_id", "url", "prediction")).join(saliency(spark, sf), "row_id")
@@ -205,15 +206,15 @@ def xai_top_evidence(spark, sf):
 
 
 @register("xai_confidence", query(
-    """SELECT row_id, round(coalesce(mean, 0e0), 6) AS mean_top_evidence_score,
-       round(least(1e0, greatest(confidence * coalesce(mean, 0e0),
-             CASE WHEN prediction = 'benign' THEN 1e0 - risk_score ELSE risk_score END)), 6) AS xai_confidence
+    """SELECT row_id, round((coalesce(mean, 0e0))::DECIMAL(18, 9), 6)::DOUBLE AS mean_top_evidence_score,
+       round((least(1e0, greatest(confidence * coalesce(mean, 0e0),
+             CASE WHEN prediction = 'benign' THEN 1e0 - risk_score ELSE risk_score END)))::DECIMAL(18, 9), 6)::DOUBLE AS xai_confidence
        FROM xb LEFT JOIN (SELECT row_id, avg(score) FILTER (strength IN ('strong', 'medium')) AS mean FROM (
          SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY rank) AS k FROM xtop10 WHERE kind = 'top' AND NOT octet)
          WHERE k <= 5 GROUP BY row_id) USING (row_id)""", "xb", "xtop10"))
 def xai_confidence(spark, sf):
-    return explained(spark, sf).select("row_id", F.round("mean_top_evidence_score", 6).alias("mean_top_evidence_score"),
-                                       F.round("xai_confidence", 6).alias("xai_confidence"))
+    return explained(spark, sf).select("row_id", fixed(F.col("mean_top_evidence_score"), 6).alias("mean_top_evidence_score"),
+                                       fixed(F.col("xai_confidence"), 6).alias("xai_confidence"))
 
 
 def explained(spark, sf):
