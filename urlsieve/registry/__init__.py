@@ -23,6 +23,7 @@ def load_all() -> None:
         evidence_queries,
         explain_queries,
         feature_queries,
+        io_queries,
         lexicon_queries,
         model_queries,
         progressive_queries,
