@@ -181,9 +181,10 @@ def tfidf_vocabulary(df: DataFrame, key: str = "row_id", tokens: str = "tokens",
     counts = exploded(df, both, "t").groupBy("t.token").agg(
         F.sum("t.df").alias("df"), F.count_if(F.col("t.df") == 0).alias("tf"))
     n = df.agg(F.count("*").alias("n")).scalar()
-    band = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    counts = counts.withColumn("n", n)
+    band = counts.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     top = L.top_k(band.withColumn("g", F.lit(0)), ["g"], [F.desc("tf"), F.asc("token")], max_features)
-    return top.select("token", "df", "tf", (F.log((n + F.lit(1.0)) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    return top.select("token", "df", "tf", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
 def tfidf(df: DataFrame, vocab: DataFrame, vocab_rows: int = K.TFIDF_MAX_FEATURES, key: str = "row_id",

@@ -59,14 +59,15 @@ def _log_odds(inside: Column, n_inside: Column, outside: Column, n_outside: Colu
     return F.log(p_in / p_out)
 
 
-def log_odds(counts: DataFrame, totals: Column | dict, classes: list[str], negative: str, min_df: int,
+def log_odds(counts: DataFrame, totals: Column, classes: list[str], negative: str, min_df: int,
              min_classes: int = K.MIN_MALICIOUS_CLASSES, alpha: float = K.SMOOTHING) -> DataFrame:
     """Positive scores in long form: (scope, token, score), common and per class.
 
-    `totals` gives the document counts n and n_<class>: a struct column or a mapping of columns.
+    `totals` is a struct column with the document counts n and n_<class>; it is read once.
     """
+    counts, totals = counts.withColumn("_totals", totals), F.col("_totals")
     positives = [c for c in classes if c != negative]
-    keys = [c for c in counts.columns if c != "total_df" and not c.startswith("df_")]
+    keys = [c for c in counts.columns if c not in ("total_df", "_totals") and not c.startswith("df_")]
     n = totals["n"]
     df_neg, n_neg = F.col("df_" + negative), totals["n_" + negative]
     df_pos = sum((F.col("df_" + c) for c in positives), F.lit(0))
@@ -193,14 +194,21 @@ STATIC_PAGE_TERMS = {
 
 def dictionary_diff(old: DataFrame, new: DataFrame, samples: int = 10) -> DataFrame:
     """Per scope: tokens added, removed and kept, with the first few names of each change."""
-    o = old.select("scope", "token", F.lit(True).alias("in_old"))
-    n = new.select("scope", "token", F.lit(True).alias("in_new"))
-    both = o.join(n, ["scope", "token"], "full").select(
-        "scope", "token",
-        F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").otherwise("kept")
-        .alias("change"))
-    names = W.partitionBy("scope", "change").orderBy("token")
-    both = both.withColumn("r", F.row_number().over(names))
+    tagged = lambda d, is_new: d.select("scope", "token", F.lit(is_new).alias("is_new"))
+    return _changes(tagged(old, False).unionByName(tagged(new, True)), samples)
+
+
+def version_diff(versions: DataFrame, old: int, new: int, samples: int = 10) -> DataFrame:
+    """dictionary_diff of two versions of one table, in one pass over it."""
+    both = versions.filter(F.col("version").isin(old, new))
+    return _changes(both.select("scope", "token", (F.col("version") == new).alias("is_new")), samples)
+
+
+def _changes(rows: DataFrame, samples: int) -> DataFrame:
+    both = rows.groupBy("scope", "token").agg(F.bool_or("is_new").alias("n"), F.bool_or(~F.col("is_new")).alias("o"))
+    both = both.select("scope", "token", F.when(F.col("n") & F.col("o"), "kept").when(F.col("n"), "added")
+                       .otherwise("removed").alias("change"))
+    both = both.withColumn("r", F.row_number().over(W.partitionBy("scope", "change").orderBy("token")))
 
     def sample(change):
         kept = F.collect_list(F.when((F.col("change") == change) & (F.col("r") <= samples), F.col("token")))

@@ -42,12 +42,7 @@ def per_class(cell_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return d.withColumn("f1", _ratio(2.0 * F.col("tp"), F.col("support") + F.col("predicted")))
 
 
-def summary(class_rows: DataFrame, by: list[str] | None = None, focus: str = K.PHISHING) -> DataFrame:
-    """(by, accuracy, macro and weighted precision/recall/f1, focus-class precision/recall/f1, rows).
-
-    The macro mean runs over classes that occur as truth or prediction.
-    """
-    by = list(by or [])
+def _summaries(focus: str) -> list[Column]:
     seen = (F.col("support") + F.col("predicted")) > 0
     n = F.sum("support")
     aggs = [n.alias("rows"), _ratio(F.sum("tp"), n).alias("accuracy")]
@@ -55,19 +50,27 @@ def summary(class_rows: DataFrame, by: list[str] | None = None, focus: str = K.P
         aggs.append(F.coalesce(F.avg(F.when(seen, F.col(m))), F.lit(0.0)).alias("macro_" + m))
         aggs.append(_ratio(F.sum(F.col(m) * F.col("support")), n).alias("weighted_" + m))
         aggs.append(F.coalesce(F.max(F.when(F.col("class") == focus, F.col(m))), F.lit(0.0)).alias(f"{focus}_{m}"))
-    return class_rows.groupBy(*by).agg(*aggs)
-
-
-def report(class_rows: DataFrame) -> DataFrame:
-    """Classification report: one row per class, then accuracy, macro avg and weighted avg."""
-    total = summary(class_rows)
-    row = lambda name, p, r, f: F.struct(F.lit(name).alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                                         F.col("rows").alias("support"))
-    acc = F.col("accuracy")
-    extra = total.select(F.inline(F.array(
-        row("accuracy", acc, acc, acc), row("macro avg", F.col("macro_precision"), F.col("macro_recall"), F.col("macro_f1")),
-        row("weighted avg", F.col("weighted_precision"), F.col("weighted_recall"), F.col("weighted_f1")))))
-    return class_rows.select(F.col("class").alias("label"), "precision", "recall", "f1", "support").unionByName(extra)
+    return aggs
+
+
+def summary(class_rows: DataFrame, by: list[str] | None = None, focus: str = K.PHISHING) -> DataFrame:
+    """(by, rows, accuracy, macro and weighted precision/recall/f1, focus-class precision/recall/f1).
+
+    The macro mean runs over classes that occur as truth or prediction.
+    """
+    return class_rows.groupBy(*(by or [])).agg(*_summaries(focus))
+
+
+def report(class_rows: DataFrame, focus: str = K.PHISHING) -> DataFrame:
+    """Classification report: one row per class, then accuracy, macro avg and weighted avg. One pass."""
+    item = F.struct(F.col("class").alias("label"), "precision", "recall", "f1", "support")
+    total = class_rows.agg(F.collect_list(item).alias("classes"), *_summaries(focus))  # one item per class
+    row = lambda name, p, r, f: F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                                         F.col(f).alias("f1"), F.col("rows").alias("support"))
+    extra = F.array(row("accuracy", "accuracy", "accuracy", "accuracy"),
+                    row("macro avg", "macro_precision", "macro_recall", "macro_f1"),
+                    row("weighted avg", "weighted_precision", "weighted_recall", "weighted_f1"))
+    return total.select(F.inline(F.concat("classes", extra)))
 
 
 def cumulative(cell_rows: DataFrame, order: str = "batch_idx") -> DataFrame:

@@ -115,26 +115,30 @@ def one_vs_rest(margin_rows: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def gradient_step(features: DataFrame, weights: DataFrame, labels: DataFrame, weight_rows: int, rate: float,
-                  l2: float = K.L2_PENALTY, key: str = "row_id") -> DataFrame:
+                  l2: float = K.L2_PENALTY, key: str = "row_id", classes: list[str] = K.CLASSES) -> DataFrame:
     """New (feature, class, weight) after one class-balanced step of one-vs-rest log loss over the given rows.
 
-    `labels` is (key, label, sample_weight). The gradient per (feature, class) is summed with partial
-    aggregation, so a feature of every row costs one record per task. Features without a weight start at 0.
+    `labels` is (key, label, sample_weight). One pass over the features: a row's margins and errors come
+    from its own features, then gradients are summed per feature with partial aggregation, so a feature
+    of every row costs one record per task. Features without a weight start at 0.
     """
-    m = margins(features, weights, weight_rows, key).withColumnRenamed("margin", "m")
-    grid = labels.select(key, "label", "sample_weight", F.explode(F.array(*map(F.lit, K.CLASSES))).alias("class"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.coalesce("m", F.lit(0.0))))
-    errors = grid.join(m, [key, "class"], "left").select(
-        key, "class", ((p - (F.col("label") == F.col("class")).cast("double")) * F.col("sample_weight")).alias("e"))
+    of = lambda c: F.coalesce(F.max(F.when(F.col("class") == c, F.col("weight"))), F.lit(0.0)).alias("w_" + c)
+    wide = weights.groupBy("feature").agg(*[of(c) for c in classes])
+    known = features.join(broadcast_if(wide, weight_rows // len(classes)), "feature", "left")
+    margin = lambda c: F.sum(F.col("value") * F.coalesce("w_" + c, F.lit(0.0))).alias("m_" + c)
+    rows = known.groupBy(key).agg(F.collect_list(F.struct("feature", "value")).alias("f"), *[margin(c) for c in classes])
+    rows = rows.join(labels.select(key, "label", "sample_weight"), key)
+    error = lambda c: ((F.lit(1.0) / (1.0 + F.exp(-F.col("m_" + c))) - (F.col("label") == c).cast("double"))
+                       * F.col("sample_weight")).alias("e_" + c)
+    long = rows.select(*[error(c) for c in classes], F.explode("f").alias("f"))
+    grad = long.groupBy(F.col("f.feature").alias("feature")).agg(
+        *[F.sum(F.col("e_" + c) * F.col("f.value")).alias("g_" + c) for c in classes])
     n = labels.agg(F.count("*").alias("n")).scalar()
-    per_row = errors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("class", "e"))).alias("e"))
-    long = features.join(per_row, key).select("feature", "value", F.explode("e").alias("class", "e"))
-    grad = long.groupBy("feature", "class").agg((F.sum(F.col("e") * F.col("value"))).alias("g"))
-    old = weights.select("feature", "class", "weight")
-    both = grad.join(old, ["feature", "class"], "full")
-    w = F.coalesce("weight", F.lit(0.0))
-    return both.select("feature", "class",
-                       (w * (1.0 - rate * l2) - rate * F.coalesce("g", F.lit(0.0)) / n).alias("weight"))
+    both = grad.join(wide, "feature", "full").withColumn("n", n)
+    zero = lambda name: F.coalesce(name, F.lit(0.0))
+    new = F.array(*[F.struct(F.lit(c).alias("class"), (
+        zero("w_" + c) * (1.0 - rate * l2) - rate * zero("g_" + c) / F.col("n")).alias("weight")) for c in classes])
+    return both.select("feature", F.inline(new))
 
 
 # --- fitted models -------------------------------------------------------------------------------

@@ -84,7 +84,7 @@ def dictionary_versions(d: DataFrame, top_common: int, top_class: int, min_df: i
     totals = L.exploded(docs, versions_of(F.col("batch_idx"), F.col("last_version")), "version", *names)
     totals = totals.groupBy("version").agg(F.struct(*[F.sum(c).alias(c) for c in names]).alias("t"))
     joined = counts.join(totals, "version")
-    scored = L.log_odds(joined, {c: F.col("t")[c] for c in names}, classes, negative, min_df).drop("t")
+    scored = L.log_odds(joined, F.col("t"), classes, negative, min_df).drop("t")
     return L.cut(scored, top_common, top_class, by=["version"]).select("version", "scope", "token", "score", "rank")
 
 

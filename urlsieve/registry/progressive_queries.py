@@ -95,8 +95,7 @@ _sample = lambda ch: (f"array_to_string(list_sort(list(token) FILTER (change = '
        FROM (SELECT * FROM dver WHERE version = 0) o FULL JOIN (SELECT * FROM dver WHERE version = 1) n
          ON o.scope = n.scope AND o.token = n.token) GROUP BY scope""", "dver"))
 def dict_diff(spark, sf):
-    v = versions(spark, sf)
-    return L.dictionary_diff(v.filter("version = 0"), v.filter("version = 1"))
+    return L.version_diff(versions(spark, sf), 0, 1)
 
 
 add("pred", """SELECT row_id, type, batch_idx, version,
