@@ -218,3 +218,12 @@ def exploded(df: DataFrame, items, name: str, *keep) -> DataFrame:
     repeats the whole expression behind `items`. The outer form with a filter afterwards does not.
     """
     return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def filled(template: str, *values: Column) -> Column:
+    """The template with its {} places filled from columns."""
+    pieces = template.split("{}")
+    items = [F.lit(pieces[0])]
+    for value, piece in zip(values, pieces[1:]):
+        items += [value.cast("string"), F.lit(piece)]
+    return F.concat(*[i for i in items])

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import texts as TX
 from ..functions.tokens import feature_prefix, feature_value, scoring_features
-from ..functions.url import empty_strings, exploded, query_pairs, split_alnum, strings, with_evidence_parts
+from ..functions.url import empty_strings, exploded, filled, query_pairs, split_alnum, strings, with_evidence_parts
 from ..session import broadcast_if
 from . import lexicon as L
 
@@ -61,19 +62,19 @@ def static_hits(d: DataFrame) -> DataFrame:
 def context_weight(feature: Column, sld: Column, tld: Column) -> Column:
     """(weight, context) of a dictionary match by its place in the URL."""
     prefix, value = feature_prefix(feature), feature_value(feature)
-    entry = lambda w, name: F.struct(F.lit(w).alias("weight"), F.lit(name).alias("context"))
+    entry = lambda w, name: F.struct(F.lit(w).alias("weight"), F.lit(TX.CONTEXTS[name]).alias("context"))
     in_path = prefix.isin("path", "pseg", "qkey", "qk", "qv")
     in_host = prefix.isin("sld", "domain", "dpart")
-    return (F.when(in_path & value.isin(K.NEUTRAL_URL_TERMS), entry(0.12, "neutral path/query token"))
-            .when(in_path, entry(1.0, "contextual path/query token"))
-            .when(prefix == "subdomain", entry(0.85, "subdomain token"))
-            .when(prefix.isin("ext", "scheme", "host_is_ip"), entry(1.0, "structural URL token"))
-            .when(prefix == "tld", entry(0.65, "TLD token"))
+    return (F.when(in_path & value.isin(K.NEUTRAL_URL_TERMS), entry(0.12, "neutral"))
+            .when(in_path, entry(1.0, "path"))
+            .when(prefix == "subdomain", entry(0.85, "subdomain"))
+            .when(prefix.isin("ext", "scheme", "host_is_ip"), entry(1.0, "structural"))
+            .when(prefix == "tld", entry(0.65, "tld"))
             .when(in_host & ((value == sld) | (value == tld)),
-                  entry(0.18, "registered-domain token with low standalone evidence"))
-            .when(in_host, entry(0.35, "host token"))
-            .when(prefix == "tok", entry(0.30, "context-free token"))
-            .otherwise(entry(0.50, "generic token")))
+                  entry(0.18, "registered"))
+            .when(in_host, entry(0.35, "host"))
+            .when(prefix == "tok", entry(0.30, "free"))
+            .otherwise(entry(0.50, "generic")))
 
 
 def _lookup(dictionary: DataFrame, metadata: bool) -> DataFrame:
@@ -152,72 +153,48 @@ def rules(learned: bool) -> list[tuple[str, Column, Column, dict[str, Column], C
 
     The columns are those of `parsed` and of one of the hit sources.
     """
-    c = F.col
+    c, lit = F.col, F.lit
     n = lambda name: F.size(name)
-    lit = F.lit
-    listed = lambda head, name, k=5: F.concat(lit(head), F.array_join(F.slice(name, 1, k), ", "), lit("."))
+    text = lambda name, *values: filled(TX.URL_REASONS[name], *values)
+    first = lambda name, k=5: F.array_join(F.slice(name, 1, k), ", ")
     has_file = F.contains("last_segment", lit("."))
     deface = F.least(lit(0.44), lit(0.28) + lit(0.06) * (n("defacement_hits") - 1))
-    deface_page = ((n("defacement_hits") > 0)
-                   & F.arrays_overlap("path_parts", "defacement_hits")
+    deface_page = ((n("defacement_hits") > 0) & F.arrays_overlap("path_parts", "defacement_hits")
                    & c("last_segment").rlike(r"[.](html|htm|php)$"))
     lure = F.least(lit(0.30), lit(0.12) + lit(0.06) * n("malware_hits"))
     brand = F.when(n("phishing_hits") == 1, 0.30).otherwise(0.24)
-    delivery = F.when(
-        F.size(F.array_remove("malware_hits", "exe")) > 0,
-        listed("Software-delivery terms appear near a file path; these terms can be benign alone, but add "
-               "malware-distribution risk when combined with executable or download-path structure: ", "malware_hits"),
-    ).otherwise("The executable extension is interpreted as a file-delivery URL structure, "
-                "not as file-content analysis.")
-    out = [
-        ("userinfo", F.contains("clean", lit("@")), lit(0.25), {"phishing": lit(0.18)},
-         lit("URL contains user-info marker '@'.")),
-        ("percent", F.contains("clean", lit("%")), lit(0.10), {"phishing": lit(0.04)},
-         lit("URL contains percent-encoded characters.")),
-        ("ip_host", c("is_ipv4"), lit(0.30), {}, lit("Host is represented as an IP address.")),
-        ("long_url", F.length("clean") >= 120, lit(0.10), {}, lit("URL is unusually long.")),
-        ("many_labels", (n("labels") >= 4) & ~c("is_ipv4"), lit(0.08), {},
-         lit("Host contains a long subdomain combining authentication-related or service-like tokens.")),
-        ("mixed_digits", c("mixes_digits"), lit(0.14), {},
-         lit("Second-level domain mixes letters with look-alike digits.")),
-        ("lookalike", c("looks_alike"), lit(0.05), {},
-         F.concat(lit("Second-level domain becomes '"), "sld_plain",
-                  lit("' after common look-alike digit normalization."))),
-        ("many_digits", c("looks_alike") & (c("sld_digits") >= 2), lit(0.15), {},
-         lit("Second-level domain contains repeated or multiple look-alike digits.")),
-        ("impersonation", c("looks_alike") & c("sld_brand"), lit(0.22), {"phishing": lit(0.22)},
-         F.concat(lit("Look-alike normalized domain matches a high-value impersonation target: "), "sld_plain",
-                  lit("."))),
-        ("risk_tld", c("tld_risky") & ~c("is_ipv4"), lit(0.16), {},
-         F.concat(lit("TLD '."), "tld", lit("' is commonly abused in phishing campaigns."))),
-        ("compressed", c("ext_risky") & c("ext_compressed"), lit(0.28), {"malware": lit(0.22)},
-         F.concat(lit("URL contains a compressed download file indicator '."), "extension", lit("'."))),
-        ("executable", c("ext_risky") & ~c("ext_compressed"), lit(0.40), {"malware": lit(0.34)},
-         F.concat(lit("URL contains an executable file extension risk indicator '."), "extension", lit("'."))),
-        ("risk_terms", n("risk_hits") > 0, F.least(lit(0.30), lit(0.08) * n("risk_hits")), {},
-         listed("Contextual risk-intent terms in URL: ", "risk_hits")),
-        ("phishing_terms", n("phishing_hits") >= 2, lit(0.18), {"phishing": lit(0.24)},
-         listed("Multiple credential-phishing intent terms: ", "phishing_hits")),
-        ("defacement_terms", n("defacement_hits") > 0, deface, {"defacement": deface},
-         listed("Defacement-related terms in URL: ", "defacement_hits")),
-        ("defacement_page", deface_page, lit(0.08), {"defacement": lit(0.08)},
-         lit("Defacement term appears in a web page filename.")),
-        ("malware_terms", (n("malware_hits") > 0) & has_file, lure, {"malware": lure}, delivery),
-        ("brand", (n("brand_hits") > 0) & (n("phishing_hits") > 0), brand, {"phishing": brand},
-         listed("Brand term appears with credential-phishing terms outside the registered service domain: ",
-                "brand_hits", 3)),
-        ("http", c("scheme") == "http", lit(0.08), {}, lit("URL uses HTTP rather than HTTPS.")),
+    delivery = F.when(F.size(F.array_remove("malware_hits", "exe")) > 0, text("malware_terms", first("malware_hits"))
+                      ).otherwise(text("malware_exe"))
+    # (rule, condition, score, score per class, values of the text)
+    table = [
+        ("userinfo", F.contains("clean", lit("@")), lit(0.25), {"phishing": lit(0.18)}, []),
+        ("percent", F.contains("clean", lit("%")), lit(0.10), {"phishing": lit(0.04)}, []),
+        ("ip_host", c("is_ipv4"), lit(0.30), {}, []),
+        ("long_url", F.length("clean") >= 120, lit(0.10), {}, []),
+        ("many_labels", (n("labels") >= 4) & ~c("is_ipv4"), lit(0.08), {}, []),
+        ("mixed_digits", c("mixes_digits"), lit(0.14), {}, []),
+        ("lookalike", c("looks_alike"), lit(0.05), {}, [c("sld_plain")]),
+        ("many_digits", c("looks_alike") & (c("sld_digits") >= 2), lit(0.15), {}, []),
+        ("impersonation", c("looks_alike") & c("sld_brand"), lit(0.22), {"phishing": lit(0.22)}, [c("sld_plain")]),
+        ("risk_tld", c("tld_risky") & ~c("is_ipv4"), lit(0.16), {}, [c("tld")]),
+        ("compressed", c("ext_risky") & c("ext_compressed"), lit(0.28), {"malware": lit(0.22)}, [c("extension")]),
+        ("executable", c("ext_risky") & ~c("ext_compressed"), lit(0.40), {"malware": lit(0.34)}, [c("extension")]),
+        ("risk_terms", n("risk_hits") > 0, F.least(lit(0.30), lit(0.08) * n("risk_hits")), {}, [first("risk_hits")]),
+        ("phishing_terms", n("phishing_hits") >= 2, lit(0.18), {"phishing": lit(0.24)}, [first("phishing_hits")]),
+        ("defacement_terms", n("defacement_hits") > 0, deface, {"defacement": deface}, [first("defacement_hits")]),
+        ("defacement_page", deface_page, lit(0.08), {"defacement": lit(0.08)}, []),
+        ("malware_terms", (n("malware_hits") > 0) & has_file, lure, {"malware": lure}, None),
+        ("brand", (n("brand_hits") > 0) & (n("phishing_hits") > 0), brand, {"phishing": brand}, [first("brand_hits", 3)]),
+        ("http", c("scheme") == "http", lit(0.08), {}, []),
     ]
     if learned:
         best = F.greatest("best_common", *["best_" + x for x in K.MALICIOUS])
         matches = F.transform("top_matches", lambda m: F.concat(
             m["label"], lit(":"), m["feature"], lit(" ("), m["context"], lit(")")))
-        out.append((
-            "dictionary", F.coalesce(n("top_matches"), lit(0)) > 0, F.least(lit(0.35), best / 20.0),
-            {x: F.least(lit(0.45), c("best_" + x) / 18.0) for x in K.MALICIOUS},
-            F.concat(lit("Learned risk dictionary matched URL tokens with context weighting: "),
-                     F.array_join(matches, ", "), lit("."))))
-    return out
+        table.append(("dictionary", F.coalesce(n("top_matches"), lit(0)) > 0, F.least(lit(0.35), best / 20.0),
+                      {x: F.least(lit(0.45), c("best_" + x) / 18.0) for x in K.MALICIOUS}, [F.array_join(matches, ", ")]))
+    return [(name, cond, score, by, delivery if values is None else text(name, *values))
+            for name, cond, score, by, values in table]
 
 
 def query_reasons() -> Column:
@@ -225,9 +202,8 @@ def query_reasons() -> Column:
     def reason(p):
         key, value = F.trim(p["key"]), F.trim(p["value"])
         hits = F.sort_array(F.array_intersect(value_parts(p), F.col("query_terms")))
-        return F.when((key != "") & (value != "") & (F.size(hits) > 0), F.concat(
-            F.lit("Query parameter '"), key, F.lit("="), F.substring(value, 1, 80),
-            F.lit("' contains risk term(s): "), F.array_join(F.slice(hits, 1, 5), ", "), F.lit(".")))
+        return F.when((key != "") & (value != "") & (F.size(hits) > 0), filled(
+            TX.URL_REASONS["query"], key, F.substring(value, 1, 80), F.array_join(F.slice(hits, 1, 5), ", ")))
 
     return F.array_compact(F.transform("pairs", reason))
 

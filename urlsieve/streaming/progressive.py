@@ -19,6 +19,7 @@ from ..operators import lexicon as L
 from ..operators import metrics as MT
 from ..operators import model as M
 from ..plans import progressive as PR
+from ..session import staged
 from ..sources.readers import read_dictionary, write_batch, write_dictionary
 
 
@@ -32,6 +33,7 @@ class Progressive:
     min_df: int = K.ADAPTIVE_PROFILE[2]
     linear_model: bool = False
     rate: float = 0.5
+    steps: int = 1  # gradient steps per batch
 
     @property
     def dictionary_rows(self) -> int:
@@ -92,7 +94,10 @@ class Progressive:
     def _train(self, rows: DataFrame, weights: DataFrame, version: int, batch: int) -> None:
         balance = FE.class_weights(rows).select("type", F.col("weight").alias("sample_weight"))
         labels = rows.join(F.broadcast(balance), "type").select("row_id", F.col("type").alias("label"), "sample_weight")
-        new = M.gradient_step(self._features(rows, version), weights, labels, self._weight_rows, self.rate)
+        features = self._features(rows, version)
+        for _ in range(self.steps - 1):
+            weights = staged(M.gradient_step(features, weights, labels, self._weight_rows, self.rate))
+        new = M.gradient_step(features, weights, labels, self._weight_rows, self.rate)
         write_batch(new, self._table("weights"), batch)
 
     def _predict(self, rows: DataFrame, version: int, batch: int) -> DataFrame:
