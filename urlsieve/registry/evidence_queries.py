@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import texts as TX
 from ..functions.url import exploded
 from ..operators import decide as D
 from ..operators import evidence as E
@@ -149,18 +150,47 @@ def ev_term_hits(spark, sf):
     return d.select("row_id", F.round("raw_score", 6).alias("raw_score"), *hit_columns(d, _HITS))
 
 
-@register("ev_query_reasons", query(
-    f"""SELECT row_id, pos, 'Query parameter ''' || trim(p.key) || '=' || substr(trim(p.value), 1, 80)
+add("qreason", f"""SELECT row_id, 'Query parameter ''' || trim(p.key) || '=' || substr(trim(p.value), 1, 80)
   || ''' contains risk term(s): ' || array_to_string(m[1:5], ', ') || '.' AS reason
 FROM (SELECT row_id, pos, p, list_sort(list_intersect(list_distinct(string_split_regex(lower(p.value), '[^a-zA-Z0-9]+')),
              {lit(_EVERY)})) AS m
       FROM (SELECT row_id, unnest(pairs) AS p, generate_subscripts(pairs, 1) - 1 AS pos FROM ev_p))
-WHERE trim(p.key) <> '' AND trim(p.value) <> '' AND len(m) > 0""", "ev_p").replace("pos, 'Query", "'Query", 1))
+WHERE trim(p.key) <> '' AND trim(p.value) <> '' AND len(m) > 0""", "ev_p")
+
+
+@register("ev_query_reasons", query("SELECT row_id, reason FROM qreason", "qreason"))
 def ev_query_reasons(spark, sf):
     d = E.static_hits(E.parsed(views.urls(spark, sf)))
     return exploded(d, E.query_reasons(), "reason", "row_id")
 
 
+def _first(name, k=5):
+    return f"array_to_string({name}[1:{k}], ', ')"
+
+
+# Texts of the rules on the fixed lexicon, with the values of the row.
+_VALUES_OF = {
+    "lookalike": "sld_plain", "impersonation": "sld_plain", "risk_tld": "tld", "compressed": "extension",
+    "executable": "extension", "risk_terms": _first("risk_hits"), "phishing_terms": _first("phishing_hits"),
+    "defacement_terms": _first("defacement_hits"), "malware_terms": _first("malware_hits"), "brand": _first("brand_hits", 3),
+}
+
+
+def _text_sql(name):
+    pieces = ["'" + p.replace("'", "''") + "'" for p in TX.URL_REASONS[name].split("{}")]
+    return f" || {_VALUES_OF.get(name)} || ".join(pieces)
+
+
+add("reasons", "SELECT row_id, reason FROM qreason UNION ALL SELECT row_id, unnest(list_filter(["
+    + ", ".join(f"CASE WHEN {cond} THEN {_text_sql(name)} END" for name, (cond, _, _) in RULES.items())
+    + "], lambda x: x IS NOT NULL)) AS reason FROM hit_s", "qreason", "hit_s")
+
+
+@register("ev_url_reasons", query("SELECT row_id, reason FROM reasons", "reasons"))
+def ev_url_reasons(spark, sf):
+    return exploded(E.url_evidence(views.urls(spark, sf)), F.col("url_reasons"), "reason", "row_id")
+
+
 def dictionary(spark, sf):
     """The rebuilt dictionary, computed once: several branches of one plan read it."""
     from ..session import staged

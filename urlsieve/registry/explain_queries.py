@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import texts as TX
 from ..functions.numbers import fixed
 from ..functions.tokens import with_tokens
 from ..functions.url import exploded
@@ -238,9 +239,15 @@ def xai_evidence_records(spark, sf):
     return exploded(d, F.concat(*lists), "r", "row_id").select("row_id", "r.*")
 
 
-_src = [("transformer", "Transformer alignment"), ("page|html|form|ssl", "Static page evidence"),
-        ("query parameter", "Query evidence"), ("extension|download|executable", "File/URL structure"),
-        ("brand|credential|phishing", "Phishing context"), ("defacement|hacked|owned", "Defacement context")]
+_source = "CASE " + " ".join(f"WHEN regexp_matches(lower(reason), '{'|'.join(w)}') THEN '{s}'" for w, s in TX.REASON_SOURCES) \
+    + f" ELSE '{TX.OTHER_SOURCE}' END"
+
+
+@register("xai_reason_source", query(f"SELECT reason, {_source} AS source, count(*) AS urls FROM reasons GROUP BY reason",
+                                     "reasons"))
+def xai_reason_source(spark, sf):
+    d = exploded(decided(spark, sf), F.col("url_reasons"), "reason").groupBy("reason").agg(F.count("*").alias("urls"))
+    return d.select("reason", X.reason_source(F.col("reason")).alias("source"), "urls")
 
 
 @register("xai_full")
