@@ -150,7 +150,7 @@ def ev_term_hits(spark, sf):
     return d.select("row_id", F.round("raw_score", 6).alias("raw_score"), *hit_columns(d, _HITS))
 
 
-add("qreason", f"""SELECT row_id, 'Query parameter ''' || trim(p.key) || '=' || substr(trim(p.value), 1, 80)
+add("qreason", f"""SELECT row_id, pos, 'Query parameter ''' || trim(p.key) || '=' || substr(trim(p.value), 1, 80)
   || ''' contains risk term(s): ' || array_to_string(m[1:5], ', ') || '.' AS reason
 FROM (SELECT row_id, pos, p, list_sort(list_intersect(list_distinct(string_split_regex(lower(p.value), '[^a-zA-Z0-9]+')),
              {lit(_EVERY)})) AS m
@@ -181,9 +181,12 @@ def _text_sql(name):
     return f" || {_VALUES_OF.get(name)} || ".join(pieces)
 
 
-add("reasons", "SELECT row_id, reason FROM qreason UNION ALL SELECT row_id, unnest(list_filter(["
+# Reasons of a URL in order: those of the query first, then one per fired rule.
+add("reason_list", "SELECT h.row_id, coalesce(q.l, []::VARCHAR[]) || list_filter(["
     + ", ".join(f"CASE WHEN {cond} THEN {_text_sql(name)} END" for name, (cond, _, _) in RULES.items())
-    + "], lambda x: x IS NOT NULL)) AS reason FROM hit_s", "qreason", "hit_s")
+    + "], lambda x: x IS NOT NULL) AS reasons FROM hit_s h LEFT JOIN "
+    "(SELECT row_id, list(reason ORDER BY pos) AS l FROM qreason GROUP BY row_id) q USING (row_id)", "qreason", "hit_s")
+add("reasons", "SELECT row_id, unnest(reasons) AS reason FROM reason_list", "reason_list")
 
 
 @register("ev_url_reasons", query("SELECT row_id, reason FROM reasons", "reasons"))

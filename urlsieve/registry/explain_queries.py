@@ -224,7 +224,31 @@ def explained(spark, sf):
     return X.explain(decided(spark, sf).join(lists, "row_id", "left"))
 
 
-@register("xai_summary")
+def _fill(template, *values):
+    """SQL of a text template with its places filled."""
+    pieces = ["'" + p.replace("'", "''") + "'" for p in template.split("{}")]
+    out = pieces[0]
+    for value, piece in zip(values, pieces[1:]):
+        out += f" || {value} || {piece}"
+    return out
+
+
+_context = (f"prediction = 'malware' AND low IN {inlist(K.MALWARE_CONTEXT_TOKENS)} AND category <> 'file_extension'")
+add("terms", f"""SELECT row_id, list(display ORDER BY rank) FILTER (strength = 'strong' AND NOT ({_context})) AS strong,
+  list(display ORDER BY rank) AS shown FROM xtop10 WHERE kind = 'top' AND NOT octet GROUP BY row_id""", "xtop10")
+_risk = "CASE prediction " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in TX.RISK_LABELS.items()) + " END"
+_SUMMARY_SQL = f"""SELECT row_id, prediction, top_terms, CASE
+  WHEN prediction = 'benign' AND main <> '' THEN {_fill(TX.SUMMARY['benign_reasons'], 'main')}
+  WHEN prediction = 'benign' THEN {_fill(TX.SUMMARY['benign'])}
+  WHEN main <> '' THEN {_fill(TX.SUMMARY['risk_reasons'], _risk, 'main', 'top_terms')}
+  ELSE {_fill(TX.SUMMARY['risk'], _risk, 'top_terms')} END AS summary, {_fill(TX.ALIGNMENT['none'])} AS alignment_text
+  FROM (SELECT row_id, prediction, array_to_string(reasons[1:2], ' ') AS main,
+          CASE WHEN len(strong) > 0 THEN array_to_string(strong[1:3], ', ')
+               WHEN len(shown) > 0 THEN array_to_string(shown[1:3], ', ') ELSE {_fill(TX.SUMMARY['no_token'])} END AS top_terms
+        FROM xb JOIN reason_list USING (row_id) LEFT JOIN terms USING (row_id))"""
+
+
+@register("xai_summary", query(_SUMMARY_SQL, "xb", "reason_list", "terms"))
 def xai_summary(spark, sf):
     return explained(spark, sf).select("row_id", "prediction", "top_terms", "summary", "alignment_text")
 
