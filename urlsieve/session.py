@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +26,32 @@ def local_session(app: str = "urlsieve", cpus: str = "*", shuffle_partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir; where none is set, one in the session's warehouse.
+
+    Both are seen by driver and executors alike. A folder of one machine is never used.
+    """
     sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or \
-        spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="urlsieve-")
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or \
+        spark.conf.get("spark.checkpoint.dir", None) or \
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet to the shared folder and read from there: later readers and lost executors
+    do not compute it again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Compute `df` once into the shared folder; later readers and lost executors read it from there."""
     shared_dir(df.sparkSession)
