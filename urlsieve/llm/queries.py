@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import jaccard_join as J
+from . import winnowing as N
 from .common import table
 
 QUERIES = {}
@@ -17,3 +18,9 @@ def register(fn):
 @register
 def op5_jaccard_join(spark, sf_dir):
     return J.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op9_winnowing(spark, sf_dir):
+    return N.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text_hash")
