@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import curriculum as C
 from . import jaccard_join as J
+from . import sharding as S
 from . import winnowing as N
 from .common import table
 
@@ -24,3 +28,15 @@ def op5_jaccard_join(spark, sf_dir):
 def op9_winnowing(spark, sf_dir):
     return N.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"),
                            table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text_hash")
+
+
+@register
+def op8_sampled_splitters(spark, sf_dir):
+    return S.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op6_curriculum(spark, sf_dir):
+    mixed = C.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source",
+                        F.size("positions").alias("passes"), F.array_min("positions").alias("first_position"))
