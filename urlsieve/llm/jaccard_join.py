@@ -20,6 +20,7 @@ CELL_BITS = 18  # cells of the shingle frequency sketch: one MB, whatever the si
 SLICES = 64
 BLOCK_SHINGLES = 500_000  # aim for the shingles in one block of sets
 LINKS = "a long, b long"
+SPARE = 32  # a prefix is longer by n / SPARE shingles, and linked sets then share as many more of them
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -29,12 +30,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     1. Equal sets form a class, and only one row of a class goes on.
     2. A sketch of all shingles gives one order, frequent ones last. Linked sets share a shingle among the first
-       n - ceil(percent * n / 100) + 1 of each (the prefix).
+       n - ceil(percent * n / 100) + 1 of each (the prefix), and one more for each shingle that the prefix is longer.
     3. Classes with the same smallest hash are searched in blocks first (`tsearch.block_links`). A block that
        would be too large is divided, and each part gets the class that stands first, so near copies by the
        thousand still meet in one component.
-    4. Only prefix shingles whose classes are not yet in one component remain. Classes outside a shingle's most
-       common component visit the other blocks that hold it, and are searched there in the same way.
+    4. Only prefix shingles whose classes are not yet in one component remain, and only classes with as many of
+       them as a partner needs. Classes outside a shingle's most common component visit the other blocks that
+       hold it, if these hold enough of them, and are searched there in the same way.
 
     No pair within a group is written: a block returns a link only where two components become one.
 
@@ -89,12 +91,24 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
 
 def _visits(labelled: DataFrame, percent: int) -> DataFrame:
-    """Where classes must still be searched: class_id, row, label, goes (blocks, and whether only as a visitor)."""
-    posts = labelled.select("class_id", "n", "block", "label",
-                            F.explode_outer("prefix").alias("token")).filter("token is not null")
-    mixed = posts.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
-        .filter("lo <> hi").select("token")
-    left = written(posts.join(mixed, "token"), "posts")
+    """Where classes must still be searched: class_id, row, label, goes (blocks, and whether only as a visitor).
+
+    A partner of a set of n has percent * n / 100 shingles or more, so both prefixes together hold at least
+    `least` shared ones. For each of those, one of the two is outside the common component and visits the
+    other's block; so one of the two visits for half of them or more.
+    """
+    posts = labelled.withColumn("least", 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)) \
+        .select("class_id", "n", "least", "block", "label", F.explode_outer("prefix").alias("token")) \
+        .filter("token is not null")
+    left = posts
+    for _ in range(2):  # without the classes that drop out, more shingles stand in one component only
+        mixed = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
+            .filter("lo <> hi").select("token")
+        left = written(left.join(mixed, "token"), "posts")
+        enough = left.groupBy("class_id").agg(F.count("*").alias("has"), F.first("least").alias("needs")) \
+            .filter("has >= needs").select("class_id")
+        left = left.join(enough, "class_id")
+    left = written(left, "posts")
     held = left.groupBy("token", "label", "block").agg(F.count("*").alias("rows"), F.min("n").alias("low"),
                                                        F.max("n").alias("high"))
     common = held.groupBy("token", "label").agg(F.sum("rows").alias("rows")) \
@@ -102,7 +116,10 @@ def _visits(labelled: DataFrame, percent: int) -> DataFrame:
     visits = left.join(common, "token").filter("label <> common").alias("p").join(held.alias("h"), F.expr(
         f"p.token = h.token and p.block <> h.block and p.label <> h.label "
         f"and 100 * p.n >= {percent} * h.low and 100 * h.high >= {percent} * p.n")) \
-        .select("p.class_id", F.struct(F.col("h.block").alias("block"), F.lit(True).alias("visitor")).alias("go"))
+        .groupBy("p.class_id", F.col("h.block").alias("to")) \
+        .agg(F.count_distinct("p.token").alias("shared"), F.first("p.least").alias("needs")) \
+        .filter("2 * shared >= needs") \
+        .select("class_id", F.struct(F.col("to").alias("block"), F.lit(True).alias("visitor")).alias("go"))
     homes = left.select("class_id", F.struct("block", F.lit(False).alias("visitor")).alias("go"))
     goes = homes.unionByName(visits).groupBy("class_id").agg(F.collect_set("go").alias("goes"))
     return labelled.select("class_id", "row", "label").join(goes, "class_id")
@@ -182,7 +199,7 @@ def _signer(k: int, percent: int, sketch):
                 class_id.append(int.from_bytes(digest, "little", signed=True))
                 anchor.append(int(mix(s[:1]).view(np.int64)[0]))
                 order = np.argsort((rank[s & mask] << np.uint64(48)) | (s >> np.uint64(16)), kind="stable")
-                prefix.append(s[order[:len(s) - -(-percent * len(s) // 100) + 1]].view(np.int64))
+                prefix.append(s[order[:len(s) - -(-percent * len(s) // 100) + 1 + len(s) // SPARE]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(class_id, pa.int64()),
                  pa.array(anchor, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
