@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import curriculum as C
 from . import jaccard_join as J
+from . import language as L
 from . import sharding as S
 from . import winnowing as N
 from .common import table
@@ -40,3 +41,11 @@ def op6_curriculum(spark, sf_dir):
     mixed = C.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source",
                         F.size("positions").alias("passes"), F.array_min("positions").alias("first_position"))
+
+
+@register
+def op1_cross_parsing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = L.fit(docs.filter(~L.held_out(F.col("doc_id"))))
+    return L.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
