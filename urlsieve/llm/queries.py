@@ -8,7 +8,9 @@ from . import curriculum as C
 from . import jaccard_join as J
 from . import language as L
 from . import sharding as S
+from . import token_files as T
 from . import winnowing as N
+from ..session import new_folder
 from .common import table
 
 QUERIES = {}
@@ -49,3 +51,13 @@ def op1_cross_parsing(spark, sf_dir):
     model = L.fit(docs.filter(~L.held_out(F.col("doc_id"))))
     return L.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op3_bit_planes(spark, sf_dir):
+    import public_tokenizers
+
+    folder = new_folder(spark, "ids")
+    files = T.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+    return T.read_token_files(spark, files, folder)
