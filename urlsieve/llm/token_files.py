@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -136,30 +138,61 @@ def filesystem(path: str):
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file. Pieces between blanks and line ends are encoded once and remembered.
+    """Ids of texts by a tokenizers file. Pieces between blanks and line ends are encoded once and remembered, up to
+    CACHE_WORDS of them.
 
-    Such a cut changes no id where the tokenizer itself never joins across white space, as `splits` says.
+    Such a cut changes no id where the tokenizer itself never joins across white space, as `splits` says. New pieces
+    that are one word, or one word and a mark, are encoded many at once where the vocabulary marks word ends.
     """
 
+    SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?")
+    AT_ONCE = 4096
+
     def __init__(self, tokenizer_path: str, splits: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.splits = Tokenizer.from_file(tokenizer_path), splits
         self.known: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        simple = [w for w in pieces if self.SIMPLE.fullmatch(w)] if self.ends is not None else []
+        for i in range(0, len(simple), self.AT_ONCE):
+            part = simple[i:i + self.AT_ONCE]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            words = np.cumsum([1 if w[-1].isalpha() else 2 for w in part])
+            if len(ends) == words[-1] and ends[-1] == len(ids):
+                cuts = ends[words - 1].tolist()
+                packed = ids.tobytes()
+                out.update(zip(part, [packed[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]))
+        rest = [w for w in pieces if w not in out]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.splits:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        fresh = list({w for p in pieces for w in p if w not in known})
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = list({w for p in pieces for w in p})
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in pieces]
+        fresh = self._encode(list({w for p in pieces for w in p if w not in known}))
+        if len(known) + len(fresh) <= CACHE_WORDS:
+            known.update(fresh)
+        else:
+            known = ChainMap(fresh, known)
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, key: str = "doc_id",
@@ -178,6 +211,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), "hash") \
         .sortWithinPartitions(F.col("key").asc_nulls_first(), "hash").select("key", "text")
 
+    worker = docs.sparkSession.sparkContext.broadcast({})  # what a worker keeps between tasks
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -189,7 +224,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
             if writer is None and texts:
-                encode = Encoder(tokenizer_path, splits)
+                if "encoder" not in worker.value:
+                    worker.value["encoder"] = Encoder(tokenizer_path, splits)
+                encode = worker.value["encoder"]
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(draft)
                 writer = PlaneWriter(out, unit)
