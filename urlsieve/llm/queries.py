@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from . import curriculum as C
 from . import jaccard_join as J
 from . import language as L
+from . import secrets as X
 from . import sharding as S
+from . import token_counts as K
 from . import token_files as T
 from . import winnowing as N
 from ..session import new_folder
@@ -61,3 +63,16 @@ def op3_bit_planes(spark, sf_dir):
     files = T.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                 public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
     return T.read_token_files(spark, files, folder)
+
+
+@register
+def op10_zstd_novelty(spark, sf_dir):
+    return X.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@register
+def op2_offset_attribution(spark, sf_dir):
+    import public_tokenizers as P
+
+    return K.count_by_section(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                              P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
