@@ -11,6 +11,7 @@ from . import secrets as X
 from . import sharding as S
 from . import token_counts as K
 from . import token_files as T
+from . import tool_calls as H
 from . import winnowing as N
 from ..session import new_folder
 from .common import table
@@ -76,3 +77,11 @@ def op2_offset_attribution(spark, sf_dir):
 
     return K.count_by_section(table(spark, sf_dir, "documents").select("doc_id", "text"),
                               P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+@register
+def op7_tool_calls(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    linked = H.link(H.derived_calls(chats).unionByName(H.written_calls(chats)),
+                    H.derived_results(chats).unionByName(H.written_results(chats)))
+    return H.in_order(linked, int(spark.conf.get("spark.sql.shuffle.partitions")))
