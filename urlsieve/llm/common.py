@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 1 << 21  # text handled at once by a numpy helper; a longer text is a batch of its own
 BROADCAST_ROWS = 300_000  # counted rows of at most about 100 bytes
@@ -46,3 +48,16 @@ def text_runs(offsets: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[in
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def without(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` less the rows whose key and text hash stand in `rows` (key, text_hash)."""
+    out = written(rows.select(F.col(key).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "dropped")
+    return docs.join(broadcast_counted(out, out.count()), F.col(key).eqNullSafe(F.col("__id")) & (
+        F.xxhash64(text) == F.col("__hash")), "left_anti")
+
+
+def unclashing(columns: list[str], own: list[str]) -> list[str]:
+    """The columns whose names none of `own` takes."""
+    taken = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in taken]

@@ -24,7 +24,8 @@ SPARE = 32  # a prefix is longer by n / SPARE shingles, and linked sets then sha
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """For every row of `docs`: key, n_shingles (set size), class_id, component_id (smallest key of its component).
+    """For every row of `docs`: key, n_shingles (set size), class_id, component_id (smallest key of its component),
+    text_hash, and keeper: whether the row is the one its component would keep (smallest key, then text hash).
 
     Two rows link when 100 * |A & B| >= percent * |A or B| of their sets of `k`-word shingles. The join is exact:
 
@@ -52,7 +53,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                      + ", text_hash long, n long, class_id long, anchor long, prefix array<long>"), "sets")
     named = signed.filter("class_id is not null")
     classes = written(named.groupBy("class_id").agg(
-        F.min("key").alias("least"), F.min(F.struct("key", "text_hash")).alias("row"), F.first("n").alias("n"),
+        F.min("key").alias("least"), F.min(_rank()).alias("row"), F.first("n").alias("n"),
         F.first("anchor").alias("anchor"), F.first("prefix").alias("prefix")), "classes")
 
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -81,13 +82,19 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     second_links = _search(source, _visits(labelled, percent), k, percent)
     roots = components(first_links.unionByName(second_links))
 
-    ids = classes.select("class_id", "least").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left") \
+    ids = classes.select("class_id", "least", "row").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left") \
         .withColumn("root", F.coalesce("root", "class_id"))
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = ids.join(least, "root").select("class_id", "component_id")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("kept"))
+    ids = ids.join(least, "root").select("class_id", "component_id", "kept")
     return signed.join(ids, "class_id", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), "class_id",
-        F.when(F.col("class_id").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("class_id").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
+        "text_hash", (F.col("class_id").isNull() | F.col("kept").eqNullSafe(_rank())).alias("keeper"))
+
+
+def _rank():
+    """Order in which rows would be kept: by key, null last, then by text."""
+    return F.struct(F.col("key").isNull().alias("missing"), "key", "text_hash")
 
 
 def _visits(labelled: DataFrame, percent: int) -> DataFrame:

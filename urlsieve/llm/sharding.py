@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
+from .common import unclashing
 
+COLUMNS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 RANGES_PER_SHARD = 16
 SAMPLES_PER_RANGE = 64
 RANGE_ROWS = 200_000  # a range with more rows is divided
@@ -32,8 +34,10 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     4. The slot is the row's number in the whole order less the number at which its shard begins.
 
     Null text counts no bytes and has the checksum of the empty one. Null keys stand first in their group; rows
-    with equal key and text get successive slots. An empty table gives an empty one.
+    with equal key and text get successive slots. Of kept columns, those named like the new ones are left out. An
+    empty table gives an empty one.
     """
+    keep = tuple(unclashing(list(keep), [key, *COLUMNS]))
     h = F.xxhash64(text)
     given = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"),
                         F.crc32(F.coalesce(text, F.lit(""))).alias("crc"), h.alias("h"),
@@ -41,10 +45,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     given = given.withColumn("size", F.col("bytes") + 1)
     rows = written(given.select("key", "size", "crc", "h"), "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    if keep:
-        rows_out = given
-    else:
-        rows_out = rows
+    rows_out = given.drop("bytes") if keep else rows
 
     ranges = shards * RANGES_PER_SHARD
     chance = F.lit(float(ranges * SAMPLES_PER_RANGE)) * F.col("size") / F.lit(float(max(total, 1)))
