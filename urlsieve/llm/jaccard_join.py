@@ -16,7 +16,7 @@ from .components import components
 from .shingles import mix, shingle_sets
 from .tsearch import block_links
 
-CELL_BITS = 18  # cells of the shingle frequency sketch: one MB, whatever the size of the corpus
+CELL_BITS = 20  # cells of the shingle frequency sketch: a few MB, whatever the size of the corpus
 SLICES = 64
 BLOCK_SHINGLES = 500_000  # aim for the shingles in one block of sets
 LINKS = "a long, b long"
@@ -37,7 +37,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
        thousand still meet in one component.
     4. Only prefix shingles whose classes are not yet in one component remain, and only classes with as many of
        them as a partner needs. Classes outside a shingle's most common component visit the other blocks that
-       hold it, if these hold enough of them, and are searched there in the same way.
+       hold it, if these hold enough of them, and are searched there in the same way; blocks are formed anew so
+       that the holders of a shingle are in few of them.
 
     No pair within a group is written: a block returns a link only where two components become one.
 
@@ -115,13 +116,14 @@ def _visits(labelled: DataFrame, percent: int) -> DataFrame:
         enough = left.groupBy("class_id").agg(F.count("*").alias("has"), F.first("least").alias("needs")) \
             .filter("has >= needs").select("class_id")
         left = left.join(enough, "class_id")
-    left = written(left, "posts")
+    left = _rehoused(written(left, "posts"))
     held = left.groupBy("token", "label", "block").agg(F.count("*").alias("rows"), F.min("n").alias("low"),
                                                        F.max("n").alias("high"))
     common = held.groupBy("token", "label").agg(F.sum("rows").alias("rows")) \
         .groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("common"))
+    held = held.join(common, "token").withColumn("is_common", F.col("label") == F.col("common")).drop("common")
     visits = left.join(common, "token").filter("label <> common").alias("p").join(held.alias("h"), F.expr(
-        f"p.token = h.token and p.block <> h.block and p.label <> h.label "
+        f"p.token = h.token and p.label <> h.label and (p.block > h.block or h.is_common and p.block <> h.block) "
         f"and 100 * p.n >= {percent} * h.low and 100 * h.high >= {percent} * p.n")) \
         .groupBy("p.class_id", F.col("h.block").alias("to")) \
         .agg(F.count_distinct("p.token").alias("shared"), F.first("p.least").alias("needs")) \
@@ -132,6 +134,22 @@ def _visits(labelled: DataFrame, percent: int) -> DataFrame:
     return labelled.select("class_id", "row", "label").join(goes, "class_id")
 
 
+def _rehoused(left: DataFrame) -> DataFrame:
+    """`left` with new blocks: classes live with those that share the commonest of their remaining shingles, so that
+    the holders of a shingle stand in few blocks. An overfull home is divided."""
+    common = left.groupBy("token").agg(F.count("*").alias("df"))
+    homes = left.join(common, "token").groupBy("class_id").agg(
+        F.max_by("token", F.struct("df", "token")).alias("home"), F.first("n").alias("size"))
+    weights = homes.groupBy("home").agg(F.sum("size").alias("weight")) \
+        .withColumn("parts", F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    total = homes.agg(F.sum("size")).first()[0] or 0
+    block = F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(max(1, -(-total // BLOCK_SHINGLES)))),
+                       F.when(F.col("parts") > 1, F.col("home")),
+                       F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class_id"), F.col("parts"))))
+    placed = homes.join(weights, "home").select("class_id", block.alias("block"))
+    return written(left.drop("block").join(placed, "class_id"), "housed")
+
+
 def _search(source: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
     """Links found when each wanted class goes to its blocks."""
     wanted = written(wanted, "wanted")
@@ -234,7 +252,7 @@ def _sketch(source: DataFrame, k: int) -> np.ndarray:
         task = int(cells[:997].sum()) & 63
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()),
-             pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "part", "counts"])
+             pa.array([p.astype(np.int64).tobytes() for p in parts], pa.binary())], ["slice", "part", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << CELL_BITS) // SLICES, np.int64)
