@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import curriculum as C
+from . import images as I
 from . import jaccard_join as J
 from . import language as L
 from . import secrets as X
@@ -85,3 +86,8 @@ def op7_tool_calls(spark, sf_dir):
     linked = H.link(H.derived_calls(chats).unionByName(H.written_calls(chats)),
                     H.derived_results(chats).unionByName(H.written_results(chats)))
     return H.in_order(linked, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@register
+def op4_image_copies(spark, sf_dir):
+    return I.find_copies(table(spark, sf_dir, "pages").select("page_id", "html"))
