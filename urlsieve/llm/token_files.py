@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import written
+from .common import text_buffers, text_runs
 
 MAGIC = b"PLANES01"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-TEXT_CHARS = 1 << 20  # characters given to the tokenizer at once
-CACHE_WORDS = 1 << 20  # encoded pieces of text a worker remembers
+TEXT_BYTES = 1 << 20  # of text given to the tokenizer at once
+CACHE_WORDS = 1 << 19  # encoded pieces of text a worker remembers
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -222,23 +223,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         draft = f"{base}/.{task.partitionId():06d}-{task.taskAttemptId()}"
         final = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}.planes"
         for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-            if writer is None and texts:
+            if writer is None and len(batch):
                 if "encoder" not in worker.value:
                     worker.value["encoder"] = Encoder(tokenizer_path, splits)
                 encode = worker.value["encoder"]
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(draft)
                 writer = PlaneWriter(out, unit)
-            i = 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j]) <= TEXT_CHARS):
-                    chars += len(texts[j])
-                    j += 1
-                for k, ids in zip(keys[i:j], encode(texts[i:j])):
+            for i, j in text_runs(text_buffers(batch.column("text"))[1], TEXT_BYTES):
+                texts = batch.column("text").slice(i, j - i).to_pylist()
+                for k, ids in zip(batch.column("key").slice(i, j - i).to_pylist(), encode(texts)):
                     writer.add(k, np.append(ids, np.array([end_id], "<u4")))
-                i = j
         if writer is not None:
             writer.close()
             out.close()
