@@ -49,7 +49,7 @@ def test_progressive_run_equals_batch(spark, sf, tmp_path):
     stored = spark.read.parquet(run._table("dictionary"))
     assert table(stored.select(*cols)) == table(versions.select(*cols))
 
-    predicted = PR.scored_stream(tokens, versions, TOP * 4 * 10)
+    predicted = PR.scored_stream(tokens, versions)
     by = ["batch_idx"]
     want = MT.summary(MT.per_class(MT.cells(predicted, by), by), by)
     got = spark.read.parquet(run._table("metrics"))

@@ -14,7 +14,6 @@ from .. import constants as K
 from .. import texts as TX
 from ..functions.tokens import feature_prefix, feature_value, scoring_features
 from ..functions.url import empty_strings, exploded, filled, query_pairs, split_alnum, strings, with_evidence_parts
-from ..session import broadcast_if
 from . import lexicon as L
 
 TERM_CATEGORIES = ["risk_terms", "phishing_intent_terms", "defacement_terms", "malware_terms"]
@@ -90,7 +89,7 @@ def _lookup(dictionary: DataFrame, metadata: bool) -> DataFrame:
                              ).unionByName(terms)
 
 
-def learned_hits(d: DataFrame, dictionary: DataFrame, metadata: bool, dictionary_rows: int,
+def learned_hits(d: DataFrame, dictionary: DataFrame, metadata: bool,
                  key: str = "row_id") -> DataFrame:
     """Term hits and dictionary matches of a learned dictionary; one row per `key`.
 
@@ -105,7 +104,7 @@ def learned_hits(d: DataFrame, dictionary: DataFrame, metadata: bool, dictionary
         tag("ext", one(F.col("extension"))), tag("tld", one(F.col("tld"))), tag("sld", one(F.col("sld_plain"))))
     long = exploded(d, items, "item", key, "sld", "tld").select(key, "sld", "tld", "item.kind", "item.key")
     # A dictionary of n rows implies at most 3n terms; each has up to two kinds.
-    lookup = broadcast_if(_lookup(dictionary, metadata), 7 * dictionary_rows)
+    lookup = _lookup(dictionary, metadata)
     found = long.join(lookup, ["kind", "key"])
     is_feature = F.col("kind") == "feature"
     # Terms get no weight; the key column is a feature only where kind says so.
@@ -137,10 +136,10 @@ def learned_hits(d: DataFrame, dictionary: DataFrame, metadata: bool, dictionary
     return d
 
 
-def dictionary_matches(d: DataFrame, dictionary: DataFrame, dictionary_rows: int, key: str = "row_id") -> DataFrame:
+def dictionary_matches(d: DataFrame, dictionary: DataFrame, key: str = "row_id") -> DataFrame:
     """Best context-weighted score per scope of rows with `features`: best_<scope>, matches; rows with a match only."""
     long = exploded(d, F.col("features"), "token", key, "sld", "tld")
-    found = long.join(broadcast_if(dictionary.select("token", "scope", "score"), dictionary_rows), "token")
+    found = long.join(dictionary.select("token", "scope", "score"), "token")
     weight = context_weight(F.col("token"), F.col("sld"), F.col("tld"))["weight"]
     found = found.select(key, "scope", (F.col("score") * weight).alias("value"))
     best = lambda scope: F.coalesce(F.max(F.when(F.col("scope") == scope, F.col("value"))), F.lit(0.0))
@@ -221,15 +220,15 @@ def apply_rules(d: DataFrame, learned: bool, only: list[str] | None = None) -> D
 
 
 def url_evidence(df: DataFrame, dictionary: DataFrame | None = None, metadata: bool = True,
-                 dictionary_rows: int = L.max_rows(K.REBUILD_PROFILE, seeds=True), key: str = "row_id",
+                 key: str = "row_id",
                  url: str = "url") -> DataFrame:
     """The input's rows with url_score, type_<class>, url_reasons and parse_error.
 
-    Without a dictionary no shuffle happens. `dictionary_rows` is the dictionary's row bound.
+    Without a dictionary no shuffle happens.
     """
     keep = df.columns
     d = parsed(df, url)
-    d = static_hits(d) if dictionary is None else learned_hits(d, dictionary, metadata, dictionary_rows, key)
+    d = static_hits(d) if dictionary is None else learned_hits(d, dictionary, metadata, key)
     d = apply_rules(d, dictionary is not None)
     return d.select(*keep, clip01(F.col("raw_score")).alias("url_score"), *["type_" + c for c in K.MALICIOUS],
                     "url_reasons", "parse_error")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.url import clean_url, exploded
-from ..session import broadcast_if
 
 # Every character set a URL can hold is far below this many code points.
 UNICODE_CODE_POINTS = 1_114_112
@@ -83,7 +82,7 @@ def risk_columns(classes=K.MALICIOUS) -> list[str]:
     return [f"{s}_{x}" for s in ["common", *classes] for x in ("score", "count")]
 
 
-def risk_features(df: DataFrame, dictionary: DataFrame, dictionary_rows: int, key: str = "row_id",
+def risk_features(df: DataFrame, dictionary: DataFrame, key: str = "row_id",
                   tokens: str = "tokens", by: list[str] | None = None, classes=K.MALICIOUS) -> DataFrame:
     """(key, <scope>_score, <scope>_count): dictionary hits of each row's token set; 0 where nothing matches.
 
@@ -92,7 +91,7 @@ def risk_features(df: DataFrame, dictionary: DataFrame, dictionary_rows: int, ke
     """
     by = list(by or [])
     long = df.select(key, *by, F.explode_outer(F.array_distinct(tokens)).alias("token"))
-    table = broadcast_if(dictionary.select(*by, "token", "scope", "score"), dictionary_rows)
+    table = dictionary.select(*by, "token", "scope", "score")
     found = long.join(table, [*by, "token"], "left")
     scope = F.col("scope")
     aggs = []
@@ -187,14 +186,14 @@ def tfidf_vocabulary(df: DataFrame, key: str = "row_id", tokens: str = "tokens",
     return top.select("token", "df", "tf", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def tfidf(df: DataFrame, vocab: DataFrame, vocab_rows: int = K.TFIDF_MAX_FEATURES, key: str = "row_id",
+def tfidf(df: DataFrame, vocab: DataFrame, key: str = "row_id",
           tokens: str = "tokens") -> DataFrame:
     """(key, token, value): L2-normalised tf * idf over a frozen vocabulary; unseen tokens drop out.
 
     The vocabulary filter runs before the only shuffle, which is by `key` and serves both the counts and the norm.
     """
     long = exploded(df, F.col(tokens), "token", key)
-    known = long.join(broadcast_if(vocab.select("token", "idf"), vocab_rows), "token").repartition(key)
+    known = long.join(vocab.select("token", "idf"), "token").repartition(key)
     counts = known.groupBy(key, "token").agg((F.count("*") * F.first("idf")).alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(key)))
     return counts.select(key, "token", (F.col("v") / norm).alias("value"))
@@ -203,11 +202,11 @@ def tfidf(df: DataFrame, vocab: DataFrame, vocab_rows: int = K.TFIDF_MAX_FEATURE
 DENSE = risk_columns() + LEXICAL
 
 
-def dense_features(df: DataFrame, dictionary: DataFrame, dictionary_rows: int, key: str = "row_id",
+def dense_features(df: DataFrame, dictionary: DataFrame, key: str = "row_id",
                    url: str = "url", tokens: str = "tokens") -> DataFrame:
     """(key, 8 dictionary features, 19 lexical features) as doubles."""
     lexical = lexical_features(df.select(key, url), url)
-    risk = risk_features(df, dictionary, dictionary_rows, key, tokens)
+    risk = risk_features(df, dictionary, key, tokens)
     both = lexical.join(risk, key)
     return both.select(key, *[F.col(c).cast("double").alias(c) for c in DENSE])
 
@@ -242,7 +241,7 @@ def label_index(df: DataFrame, label: str = "type") -> DataFrame:
 
 def encode_labels(df: DataFrame, index: DataFrame, label: str = "type") -> DataFrame:
     """Add label_id; a label outside the index stops the job."""
-    d = df.join(F.broadcast(index.withColumnRenamed("label", label)), label, "left")
+    d = df.join(index.withColumnRenamed("label", label), label, "left")
     return d.withColumn("label_id", F.when(F.col("label_id").isNull(), F.raise_error(F.concat(
         F.lit("unseen label: "), F.coalesce(label, F.lit("null"))))).otherwise(F.col("label_id")))
 

@@ -198,22 +198,27 @@ def dictionary_diff(old: DataFrame, new: DataFrame, samples: int = 10) -> DataFr
     return _changes(tagged(old, False).unionByName(tagged(new, True)), samples)
 
 
-def version_diff(versions: DataFrame, old: int, new: int, samples: int = 10) -> DataFrame:
-    """dictionary_diff of two versions of one table, in one pass over it."""
-    both = versions.filter(F.col("version").isin(old, new))
-    return _changes(both.select("scope", "token", (F.col("version") == new).alias("is_new")), samples)
-
-
-def _changes(rows: DataFrame, samples: int) -> DataFrame:
-    both = rows.groupBy("scope", "token").agg(F.bool_or("is_new").alias("n"), F.bool_or(~F.col("is_new")).alias("o"))
-    both = both.select("scope", "token", F.when(F.col("n") & F.col("o"), "kept").when(F.col("n"), "added")
+def version_diffs(versions: DataFrame, samples: int = 10) -> DataFrame:
+    """dictionary_diff of every version with the one before it, in one pass: version, scope and the changes."""
+    last = versions.agg(F.max("version").alias("last"))
+    sides = F.array(F.struct(F.col("version"), F.lit(True).alias("is_new")),
+                    F.struct((F.col("version") + 1).alias("version"), F.lit(False).alias("is_new")))
+    both = versions.withColumn("last", last.scalar())
+    both = both.select("scope", "token", "last", F.explode(sides).alias("s")).select("scope", "token", "s.*", "last")
+    return _changes(both.filter(F.col("version").between(1, F.col("last"))).drop("last"), samples, ["version"])
+
+
+def _changes(rows: DataFrame, samples: int, by: list[str] | None = None) -> DataFrame:
+    by = [*(by or []), "scope"]
+    both = rows.groupBy(*by, "token").agg(F.bool_or("is_new").alias("n"), F.bool_or(~F.col("is_new")).alias("o"))
+    both = both.select(*by, "token", F.when(F.col("n") & F.col("o"), "kept").when(F.col("n"), "added")
                        .otherwise("removed").alias("change"))
-    both = both.withColumn("r", F.row_number().over(W.partitionBy("scope", "change").orderBy("token")))
+    both = both.withColumn("r", F.row_number().over(W.partitionBy(*by, "change").orderBy("token")))
 
     def sample(change):
         kept = F.collect_list(F.when((F.col("change") == change) & (F.col("r") <= samples), F.col("token")))
         return F.array_join(F.sort_array(kept), ",").alias("sample_" + change)
 
     count = lambda change: F.count_if(F.col("change") == change).alias(change)
-    return both.groupBy("scope").agg(count("added"), count("removed"), count("kept"), sample("added"),
+    return both.groupBy(*by).agg(count("added"), count("removed"), count("kept"), sample("added"),
                                      sample("removed"))

@@ -11,17 +11,20 @@ from .. import constants as K
 
 def cells(df: DataFrame, by: list[str] | None = None, truth: str = "type", pred: str = "prediction",
           classes: list[str] = K.CLASSES) -> DataFrame:
-    """(by, type, prediction, n) for every pair of classes, zeros included.
+    """(by, type, prediction, n) for every pair of classes, zeros included, and for every other pair that occurs.
 
-    Rows are counted first; the class grid is then built from one row per group.
+    Rows are counted first; the class grid is then built from one row per group. A label outside `classes` keeps
+    its rows: it gets the cells it has, no zeros.
     """
     by = list(by or [])
     counted = df.groupBy(*by, F.col(truth).alias("type"), F.col(pred).alias("prediction")).agg(F.count("*").alias("n"))
     grid = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(p).alias("prediction")) for t in classes for p in classes])
-    found = F.map_from_entries(F.collect_list(F.struct(F.struct("type", "prediction"), "n")))
+    listed = F.col("type").isin(classes) & F.col("prediction").isin(classes)
+    found = F.map_from_entries(F.collect_list(F.when(listed, F.struct(F.struct("type", "prediction"), "n"))))
     per_group = counted.groupBy(*by).agg(found.alias("m"))  # at most classes * classes entries
     full = per_group.select(*by, "m", F.explode(grid).alias("c"))
-    return full.select(*by, "c.type", "c.prediction", F.coalesce(F.try_element_at("m", F.col("c")), F.lit(0)).alias("n"))
+    full = full.select(*by, "c.type", "c.prediction", F.coalesce(F.try_element_at("m", F.col("c")), F.lit(0)).alias("n"))
+    return full.unionByName(counted.filter(~F.coalesce(listed, F.lit(False))))
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.url import char_ngrams, clean_url
-from ..session import broadcast_if
 from . import features as FE
 
 
@@ -101,9 +100,9 @@ def fusion_stats(d: DataFrame) -> DataFrame:
 # --- linear models as tables ---------------------------------------------------------------------
 
 
-def margins(features: DataFrame, weights: DataFrame, weight_rows: int, key: str = "row_id") -> DataFrame:
+def margins(features: DataFrame, weights: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, class, margin): sparse dot products of (key, feature, value) with (feature, class, weight)."""
-    table = broadcast_if(weights.select("feature", "class", "weight"), weight_rows)
+    table = weights.select("feature", "class", "weight")
     return features.join(table, "feature").groupBy(key, "class").agg(
         F.sum(F.col("value") * F.col("weight")).alias("margin"))
 
@@ -114,7 +113,7 @@ def one_vs_rest(margin_rows: DataFrame, key: str = "row_id") -> DataFrame:
     return margin_rows.withColumn("p", s / F.sum(s).over(W.partitionBy(key)))
 
 
-def gradient_step(features: DataFrame, weights: DataFrame, labels: DataFrame, weight_rows: int, rate: float,
+def gradient_step(features: DataFrame, weights: DataFrame, labels: DataFrame, rate: float,
                   l2: float = K.L2_PENALTY, key: str = "row_id", classes: list[str] = K.CLASSES) -> DataFrame:
     """New (feature, class, weight) after one class-balanced step of one-vs-rest log loss over the given rows.
 
@@ -124,7 +123,7 @@ def gradient_step(features: DataFrame, weights: DataFrame, labels: DataFrame, we
     """
     of = lambda c: F.coalesce(F.max(F.when(F.col("class") == c, F.col("weight"))), F.lit(0.0)).alias("w_" + c)
     wide = weights.groupBy("feature").agg(*[of(c) for c in classes])
-    known = features.join(broadcast_if(wide, weight_rows // len(classes)), "feature", "left")
+    known = features.join(wide, "feature", "left")
     margin = lambda c: F.sum(F.col("value") * F.coalesce("w_" + c, F.lit(0.0))).alias("m_" + c)
     rows = known.groupBy(key).agg(F.collect_list(F.struct("feature", "value")).alias("f"), *[margin(c) for c in classes])
     rows = rows.join(labels.select(key, "label", "sample_weight"), key)
@@ -163,7 +162,7 @@ def base_training(df: DataFrame) -> DataFrame:
     index = FE.label_index(df)
     weights = FE.class_weights(df).select("type", "weight")
     d = FE.encode_labels(FE.lexical_features(df), index)
-    return d.join(F.broadcast(weights), "type")
+    return d.join(weights, "type")
 
 
 def scored(model, df: DataFrame, classes: list[str] = K.CLASSES) -> DataFrame:

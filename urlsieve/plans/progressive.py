@@ -15,7 +15,6 @@ from .. import constants as K
 from ..operators import features as FE
 from ..operators import lexicon as L
 from ..operators.model import shuffle_key
-from ..session import broadcast_if
 
 BUCKET_DIGITS = 4  # 16 ** 4 buckets of a uniform hexadecimal key
 
@@ -97,8 +96,8 @@ def lexicon_argmax(d: DataFrame) -> DataFrame:
     return d.withColumn("prediction", F.when(F.col("common_count") < 2, K.BENIGN).otherwise(label))
 
 
-def scored_stream(d: DataFrame, versions: DataFrame, version_rows: int) -> DataFrame:
+def scored_stream(d: DataFrame, versions: DataFrame) -> DataFrame:
     """(row_id, type, batch_idx, version, prediction): every batch scored by the version in force before it."""
     stream = d.filter("batch_idx > 0").withColumn("version", version_in_force(F.col("batch_idx")))
-    hits = FE.risk_features(stream, versions, version_rows, by=["version"])
+    hits = FE.risk_features(stream, versions, by=["version"])
     return lexicon_argmax(stream.select("row_id", "type", "batch_idx", "version").join(hits, "row_id"))

@@ -206,9 +206,8 @@ def dictionary(spark, sf):
                                            {"score": _DICT[1], **_DICT[2]}.items())
     + " FROM hit_r", "hit_r"))
 def ev_learned(spark, sf):
-    rows = L.max_rows(K.REBUILD_PROFILE, True)
     d = E.scoring_features(E.parsed(views.urls(spark, sf)))
-    found = E.dictionary_matches(d, dictionary(spark, sf), rows)
+    found = E.dictionary_matches(d, dictionary(spark, sf))
     best = F.greatest("best_common", *["best_" + c for c in K.MALICIOUS])
     return d.select("row_id").join(found, "row_id", "left").select(
         "row_id", F.coalesce("matches", F.lit(0)).alias("matches"),

@@ -88,7 +88,6 @@ add("xtop10", """SELECT t.*, e.is_ipv4 AND regexp_matches(display, '^\\d{1,3}$')
     AND regexp_matches(token, '^(domain|dpart|tld|tldpart|sld|tok):') AND kind = 'top' AS octet
   FROM xtop t JOIN ev_p e USING (row_id) WHERE rank <= 10""", "xtop", "ev_p")
 
-WEIGHT_ROWS = K.TFIDF_MAX_FEATURES
 
 
 def gram_weights(spark, sf):
@@ -97,7 +96,7 @@ def gram_weights(spark, sf):
 
 
 def saliency(spark, sf):
-    return X.char_saliency(views.urls(spark, sf), gram_weights(spark, sf), WEIGHT_ROWS)
+    return X.char_saliency(views.urls(spark, sf), gram_weights(spark, sf))
 
 
 def decided(spark, sf):
@@ -113,7 +112,7 @@ def cases(spark, sf):
 def explained_tokens(spark, sf, dict_df):
     """Token rows with saliency, dictionary values and case scores."""
     d = with_tokens(decided(spark, sf).select("row_id", "url", "prediction")).join(saliency(spark, sf), "row_id")
-    return X.token_rows(S.similar_cases(d, cases(spark, sf)), dict_df, L.max_rows(K.REBUILD_PROFILE, True))
+    return X.token_rows(S.similar_cases(d, cases(spark, sf)), dict_df)
 
 
 @register("similar_cases", query(
@@ -154,7 +153,7 @@ def xai_substring(spark, sf):
        FROM xd WHERE raw > 0""", "xd"))
 def xai_dictionary(spark, sf):
     d = with_tokens(decided(spark, sf).select("row_id", "url", "prediction"))
-    t = X.dictionary_scores(X.token_rows(d, dictionary(spark, sf), L.max_rows(K.REBUILD_PROFILE, True)))
+    t = X.dictionary_scores(X.token_rows(d, dictionary(spark, sf)))
     return t.filter("dictionary_raw_score > 0").select(
         "row_id", F.col("feature").alias("token"), "prediction", fixed(F.col("dictionary_raw_score"), 6).alias("raw_score"),
         fixed(F.col("dictionary_score"), 6).alias("score"), F.col("dictionary_source").alias("source"))
@@ -182,7 +181,7 @@ add("xal", f"""SELECT *, round((al)::DECIMAL(18, 9), 4)::DOUBLE AS ral, row_numb
     + " FROM xal GROUP BY row_id", "xal"))
 def xai_alignment(spark, sf):
     d = with_tokens(decided(spark, sf).select("row_id", "url", "prediction")).join(saliency(spark, sf), "row_id")
-    t = X.token_rows(d, dictionary(spark, sf), L.max_rows(K.REBUILD_PROFILE, True))
+    t = X.token_rows(d, dictionary(spark, sf))
     return X.alignment(t).drop("alignment_top_matches")
 
 
@@ -293,4 +292,4 @@ def page_rows(spark, sf):
 def explain_urls(spark, urls, dict_df, weights, case_df, pages):
     from ..plans.scoring import explain_urls as plan
 
-    return plan(urls, dict_df, L.max_rows(K.REBUILD_PROFILE, True), weights, WEIGHT_ROWS, case_df, pages)
+    return plan(urls, dict_df, weights, case_df, pages)

@@ -39,7 +39,6 @@ _scopes = ["common", *K.MALICIOUS]
 add("riskf", "SELECT row_id, " + ", ".join(
     f"coalesce(sum(score) FILTER (scope = '{s}'), 0e0) AS {s}_score, count(score) FILTER (scope = '{s}') AS {s}_count"
     for s in _scopes) + " FROM tok_ids LEFT JOIN dict_a USING (token) GROUP BY row_id", "tok_ids", "dict_a")
-ADAPTIVE_ROWS = L.max_rows(K.ADAPTIVE_PROFILE)
 
 
 def adaptive(spark, sf):
@@ -50,7 +49,7 @@ def adaptive(spark, sf):
     f"round({s}_score, 6) AS {s}_score, {s}_count" for s in _scopes) + " FROM riskf", "riskf"))
 def feat_risk(spark, sf):
     t = tokens(spark, sf)
-    d = FE.risk_features(t, L.risk_dictionary(t), ADAPTIVE_ROWS)
+    d = FE.risk_features(t, L.risk_dictionary(t))
     return d.select("row_id", *[F.round(c, 6).alias(c) if c.endswith("score") else F.col(c) for c in FE.risk_columns()])
 
 
@@ -137,7 +136,7 @@ add("scaled", _unp, "dense")
 @register("feat_scaled", query("SELECT row_id, feature, round(value, 6) + 0e0 AS value FROM scaled", "scaled"))
 def feat_scaled(spark, sf):
     t = tokens(spark, sf)
-    dense = FE.dense_features(t, adaptive(spark, sf), ADAPTIVE_ROWS)
+    dense = FE.dense_features(t, adaptive(spark, sf))
     return FE.scaled(dense, FE.scaler(dense)).select("row_id", "feature", (F.round("value", 6) + 0.0).alias("value"))
 
 
@@ -146,7 +145,7 @@ def feat_scaled(spark, sf):
        UNION ALL SELECT row_id, 'dense:' || feature, round(value, 6) + 0e0 FROM scaled""", "tfidf", "scaled"))
 def feat_long(spark, sf):
     t = tokens(spark, sf)
-    dense = FE.dense_features(t, adaptive(spark, sf), ADAPTIVE_ROWS)
+    dense = FE.dense_features(t, adaptive(spark, sf))
     d = FE.feature_table(FE.tfidf(t, FE.tfidf_vocabulary(t)), FE.scaled(dense, FE.scaler(dense)))
     return d.select("row_id", "feature", (F.round("value", 6) + 0.0).alias("value"))
 

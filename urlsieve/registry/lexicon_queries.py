@@ -116,7 +116,7 @@ def risk_dict_rebuild(spark, sf):
 def risk_seeded(spark, sf):
     learned = L.risk_dictionary(tokens(spark, sf), K.REBUILD_PROFILE)
     seeds = L.seed_tokens(spark).withColumnRenamed("score", "seed")
-    both = F.broadcast(seeds).join(learned, ["scope", "token"], "left")
+    both = seeds.join(learned, ["scope", "token"], "left")
     best = F.greatest("seed", F.coalesce("score", F.lit(0.0)))
     return both.select("scope", "token", F.round(best, 6).alias("score"), F.col("score").isNotNull().alias("learned"))
 

@@ -108,7 +108,6 @@ add("weights", " UNION ALL ".join(
     for c, (a, b) in _AB.items()), "vocab")
 add("margin", """SELECT row_id, class, sum(value * weight) AS margin FROM tfidf JOIN weights ON feature = token
   GROUP BY row_id, class""", "tfidf", "weights")
-WEIGHT_ROWS = K.TFIDF_MAX_FEATURES * len(K.CLASSES)
 
 
 def linear_model(spark, sf):
@@ -127,7 +126,7 @@ def linear_model(spark, sf):
     "margin"))
 def model_margin(spark, sf):
     _, features, weights = linear_model(spark, sf)
-    d = M.one_vs_rest(M.margins(features, weights, WEIGHT_ROWS))
+    d = M.one_vs_rest(M.margins(features, weights))
     return d.select("row_id", "class", F.round("margin", 6).alias("margin"), F.round("p", 6).alias("p"))
 
 
@@ -146,8 +145,8 @@ add("balance", """SELECT type, (SELECT count(*) FROM urls) / (count(*) OVER () *
 def model_grad_step(spark, sf):
     t, features, weights = linear_model(spark, sf)
     balance = FE.class_weights(t).select("type", F.col("weight").alias("sample_weight"))
-    labels = t.join(F.broadcast(balance), "type").select("row_id", F.col("type").alias("label"), "sample_weight")
-    d = M.gradient_step(features, weights, labels, WEIGHT_ROWS, rate=0.5)
+    labels = t.join(balance, "type").select("row_id", F.col("type").alias("label"), "sample_weight")
+    d = M.gradient_step(features, weights, labels, rate=0.5)
     return d.select("feature", "class", (F.round("weight", 6) + 0.0).alias("weight"))
 
 

@@ -15,8 +15,14 @@ from .evidence_queries import decide_sql, dictionary
 from .sqltext import add, inlist, lit, query
 
 _re = lambda s: "'" + s.replace("'", "''") + "'"
+# Patterns and references of the SQL's own, in the syntax of its engine.
+_TAG = r"""<[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+_MARKUP = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?(?:</script\s*>|\z)|<title\b[^>]*>.*?(?:</title\s*>|\z)|" + _TAG
+           + r"|</[a-zA-Z][^>]*>|<![^>]*>")
+_ATTRIBUTE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
 _ENT = "{x}"
-for _name, _char in P.ENTITIES:
+for _name, _char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+                     ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]:
     _ENT = f"replace({_ENT}, {_re(_name)}, {_re(_char)})"
 unesc = lambda x: _ENT.replace("{x}", x)
 _WS = r"'^[\s\x{00a0}]+|[\s\x{00a0}]+$'"
@@ -28,12 +34,12 @@ def _tags(name):
 
 
 def _open(x):
-    return f"regexp_extract({x}, {_re('^' + P.TAG_RE)}, 0)"
+    return f"regexp_extract({x}, {_re('^' + _TAG)}, 0)"
 
 
 def _attr(x, name):
     tag = f"regexp_replace({_open(x)}, '^<[a-zA-Z][^\\s/>]*', '')"
-    found = (f"list_filter(regexp_extract_all({tag}, {_re(P.ATTRIBUTE_RE)}, 0), "
+    found = (f"list_filter(regexp_extract_all({tag}, {_re(_ATTRIBUTE)}, 0), "
              f"lambda a: regexp_matches(a, '^(?i:{name})\\s*(=|$)'))[-1]")
     raw = f"regexp_replace({found}, '(?s)^[^=]*=?\\s*', '')"
     return f"regexp_replace({raw}, {_re('''^[\"']|[\"']$''')}, '', 'g')"
@@ -77,8 +83,8 @@ FROM (SELECT *, list_transform({_tags('form')}, lambda x: {_target("coalesce(" +
          _strip("regexp_replace(x, '(?is)^<title\\b[^>]*>|</title\\s*>$', '', 'g')") + "), lambda t: t <> ''), ' ')")))} AS title,
         lower(array_to_string(list_filter(list_transform(pieces, lambda p: {_strip(unesc('p'))}), lambda p: p <> ''), ' '))
           || ' ' || lower(title) AS surface
-      FROM (SELECT page_id, url, regexp_extract_all(html, {_re(P.MARKUP_RE)}, 0) AS items,
-              string_split(regexp_replace(html, {_re(P.MARKUP_RE)}, chr(1), 'g'), chr(1)) AS pieces,
+      FROM (SELECT page_id, url, regexp_extract_all(html, {_re(_MARKUP)}, 0) AS items,
+              string_split(regexp_replace(html, {_re(_MARKUP)}, chr(1), 'g'), chr(1)) AS pieces,
               lower(split_part(url, '://', 1)) AS bscheme,
               lower(split_part(split_part(split_part(split_part(split_part(split_part(url, '://', 2), '#', 1), '?', 1), '/', 1),
                 '@', -1), ':', 1)) AS bhost
@@ -111,7 +117,7 @@ def page_js_score(spark, sf):
         SELECT page_id, lower(split_part(url, '://', 1)) AS bscheme,
           lower(split_part(split_part(split_part(split_part(split_part(split_part(url, '://', 2), '#', 1), '?', 1), '/', 1),
             '@', -1), ':', 1)) AS bhost,
-          list_filter(list_transform(list_filter(regexp_extract_all(html, {_re(P.MARKUP_RE)}, 0),
+          list_filter(list_transform(list_filter(regexp_extract_all(html, {_re(_MARKUP)}, 0),
             lambda x: regexp_matches(x, '^<(?i:a)([^a-zA-Z0-9:-]|$)')), lambda x: {_attr('x', 'href')}),
             lambda h: h IS NOT NULL AND h <> '') AS links FROM html_pages)))
     GROUP BY scheme, host""", "html_pages"))

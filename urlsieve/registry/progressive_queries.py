@@ -14,22 +14,16 @@ from .lexicon_queries import cut_sql, scored_sql
 from .sqltext import add, query
 
 
-
-def _size():
-    """About 25 batches at any data size, with 20 rows or more."""
-    return F.greatest(F.lit(20), F.floor(F.col("n_rows") / 25))
-
-
+BATCH_ROWS = 50  # rows of a batch at every data size
 # Top tokens per scope and minimum document frequency of the versions.
 TOP, MIN_DF = 50, 3
-MAX_VERSION_ROWS = TOP * len(K.CLASSES) * 20
 
 add("ord", """SELECT *, (count(*) OVER () * 200) // 1000 AS warmup_size, count(*) OVER () AS n_rows,
   row_number() OVER (ORDER BY order_key, row_id) AS rn FROM (
   SELECT row_id, url, type, md5(row_id || '|' || url || '#42') AS order_key FROM urls)""", "urls")
-add("bat", """SELECT *, CASE WHEN rn <= warmup_size THEN 0 ELSE (rn - warmup_size - 1) // size + 1 END AS batch_idx,
+add("bat", f"""SELECT *, CASE WHEN rn <= warmup_size THEN 0 ELSE (rn - warmup_size - 1) // size + 1 END AS batch_idx,
   (n_rows - warmup_size - 1) // size + 1 AS n_batches, ((n_rows - warmup_size - 1) // size + 1) // 3 AS last_version
-  FROM (SELECT *, greatest(20, n_rows // 25) AS size FROM ord)""", "ord")
+  FROM (SELECT *, {BATCH_ROWS} AS size FROM ord)""", "ord")
 # A batch teaches version v when 3v - 5 <= batch <= 3v; the warm-up teaches all.
 add("ver", """SELECT v AS version, row_id, type FROM bat, (SELECT unnest(range(0, (SELECT max(last_version) + 1 FROM bat))) AS v)
   WHERE batch_idx = 0 OR batch_idx BETWEEN 3 * v - 5 AND 3 * v""", "bat")
@@ -43,7 +37,7 @@ add("dver", cut_sql(scored_sql("vall", "one", str(MIN_DF), "version,"), TOP, TOP
 
 
 def stream_rows(spark, sf):
-    return PR.batched(PR.ordered(views.urls(spark, sf)), _size())
+    return PR.batched(PR.ordered(views.urls(spark, sf)), F.lit(BATCH_ROWS))
 
 
 def stream_tokens(spark, sf):
@@ -87,15 +81,16 @@ _sample = lambda ch: (f"array_to_string(list_sort(list(token) FILTER (change = '
 
 
 @register("dict_diff", query(
-    f"""SELECT scope, count_if(change = 'added')::BIGINT AS added, count_if(change = 'removed')::BIGINT AS removed,
+    f"""SELECT version, scope, count_if(change = 'added')::BIGINT AS added, count_if(change = 'removed')::BIGINT AS removed,
        count_if(change = 'kept')::BIGINT AS kept, coalesce({_sample('added').split(' AS ')[0]}, '') AS sample_added,
        coalesce({_sample('removed').split(' AS ')[0]}, '') AS sample_removed FROM (
-       SELECT coalesce(o.scope, n.scope) AS scope, coalesce(o.token, n.token) AS token,
+       SELECT coalesce(o.version, n.version) AS version, coalesce(o.scope, n.scope) AS scope, coalesce(o.token, n.token) AS token,
          CASE WHEN o.token IS NULL THEN 'added' WHEN n.token IS NULL THEN 'removed' ELSE 'kept' END AS change
-       FROM (SELECT * FROM dver WHERE version = 0) o FULL JOIN (SELECT * FROM dver WHERE version = 1) n
-         ON o.scope = n.scope AND o.token = n.token) GROUP BY scope""", "dver"))
+       FROM (SELECT version + 1 AS version, scope, token FROM dver WHERE version < (SELECT max(version) FROM dver)) o
+       FULL JOIN (SELECT * FROM dver WHERE version > 0) n
+         ON o.version = n.version AND o.scope = n.scope AND o.token = n.token) GROUP BY version, scope""", "dver"))
 def dict_diff(spark, sf):
-    return L.version_diff(versions(spark, sf), 0, 1)
+    return L.version_diffs(versions(spark, sf))
 
 
 add("pred", """SELECT row_id, type, batch_idx, version,
@@ -147,7 +142,7 @@ _round = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
 def predictions(spark, sf):
     d = stream_tokens(spark, sf)
     v = PR.dictionary_versions(d, TOP, TOP, MIN_DF)
-    return PR.scored_stream(d, v, MAX_VERSION_ROWS)
+    return PR.scored_stream(d, v)
 
 
 def _rounded(d, *keys):

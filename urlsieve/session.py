@@ -5,10 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when its row bound, known from parameters, stays below this.
-BROADCAST_ROW_LIMIT = 500_000
 
 
 def local_session(app: str = "urlsieve", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -56,8 +52,3 @@ def staged(df: DataFrame) -> DataFrame:
     """Compute `df` once into the shared folder; later readers and lost executors read it from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a table of at most `max_rows` rows; beyond the limit Spark shuffles both sides."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROW_LIMIT else df

@@ -35,10 +35,6 @@ class Progressive:
     rate: float = 0.5
     steps: int = 1  # gradient steps per batch
 
-    @property
-    def dictionary_rows(self) -> int:
-        return self.top_common + self.top_class * len(K.MALICIOUS)
-
     def _table(self, name: str) -> str:
         return f"{self.path}/{name}"
 
@@ -70,7 +66,7 @@ class Progressive:
         self._build_version(spark, 0, 0)
         if self.linear_model:
             FE.tfidf_vocabulary(rows).write.mode("overwrite").parquet(self._table("vocabulary"))
-            dense = FE.dense_features(rows, read_dictionary(spark, self._table("dictionary"), 0), self.dictionary_rows)
+            dense = FE.dense_features(rows, read_dictionary(spark, self._table("dictionary"), 0))
             FE.scaler(dense).write.mode("overwrite").parquet(self._table("scaler"))
             zero = spark.createDataFrame([("dense:length", c, 0.0) for c in K.CLASSES],
                                          "feature string, class string, weight double")
@@ -80,32 +76,28 @@ class Progressive:
 
     def _features(self, rows: DataFrame, version: int) -> DataFrame:
         spark = rows.sparkSession
-        dense = FE.dense_features(rows, read_dictionary(spark, self._table("dictionary"), version), self.dictionary_rows)
+        dense = FE.dense_features(rows, read_dictionary(spark, self._table("dictionary"), version))
         vocab = spark.read.parquet(self._table("vocabulary"))
         return FE.feature_table(FE.tfidf(rows, vocab), FE.scaled(dense, spark.read.parquet(self._table("scaler"))))
 
-    @property
-    def _weight_rows(self) -> int:
-        return (K.TFIDF_MAX_FEATURES + len(FE.DENSE)) * len(K.CLASSES)
-
     def _weights(self, spark: SparkSession, batch: int) -> DataFrame:
         return spark.read.parquet(self._table("weights")).filter(F.col("batch_id") == batch).drop("batch_id")
 
     def _train(self, rows: DataFrame, weights: DataFrame, version: int, batch: int) -> None:
         balance = FE.class_weights(rows).select("type", F.col("weight").alias("sample_weight"))
-        labels = rows.join(F.broadcast(balance), "type").select("row_id", F.col("type").alias("label"), "sample_weight")
+        labels = rows.join(balance, "type").select("row_id", F.col("type").alias("label"), "sample_weight")
         features = self._features(rows, version)
         for _ in range(self.steps - 1):
-            weights = staged(M.gradient_step(features, weights, labels, self._weight_rows, self.rate))
-        new = M.gradient_step(features, weights, labels, self._weight_rows, self.rate)
+            weights = staged(M.gradient_step(features, weights, labels, self.rate))
+        new = M.gradient_step(features, weights, labels, self.rate)
         write_batch(new, self._table("weights"), batch)
 
     def _predict(self, rows: DataFrame, version: int, batch: int) -> DataFrame:
         if not self.linear_model:
             d = read_dictionary(rows.sparkSession, self._table("dictionary"), version)
-            hits = FE.risk_features(rows, d, self.dictionary_rows)
+            hits = FE.risk_features(rows, d)
             return PR.lexicon_argmax(rows.select("row_id", "type").join(hits, "row_id"))
-        margins = M.margins(self._features(rows, version), self._weights(rows.sparkSession, batch - 1), self._weight_rows)
+        margins = M.margins(self._features(rows, version), self._weights(rows.sparkSession, batch - 1))
         p = M.one_vs_rest(margins).groupBy("row_id").pivot("class", K.CLASSES).agg(F.first("p"))
         p = p.select("row_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias("p_" + c) for c in K.CLASSES])
         return M.phishing_gate(rows.select("row_id", "type").join(p, "row_id")).withColumnRenamed("base_pred", "prediction")
