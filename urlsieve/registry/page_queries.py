@@ -292,21 +292,33 @@ def dq_validate_urls(spark, sf):
 
 
 _BLOCK = " OR ".join(f"num BETWEEN {Q._number(a)} AND {Q._number(b)}" for a, b in Q.BLOCKED_RANGES)
-_ADDR = """SELECT row_id, CASE row_id % 5 WHEN 0 THEN concat('http://', row_id * 7919 % 256, '.', row_id * 31 % 256, '.0.1/x')
-  WHEN 1 THEN concat('ftp://', row_id, '.example/') WHEN 2 THEN 'https:///nohost' ELSE url END AS url FROM {urls}"""
-add("addr", _ADDR.format(urls="urls"), "urls")
+# Odd spellings of hosts and whether they may be fetched, worked out by hand.
+ODD_HOSTS = [("[::1]", False), ("[fe80::1%25eth0]", False), ("2130706433", False), ("127.1", False), ("0x7f000001", False),
+             ("localhost", False), ("a.localhost.", False), ("0177.0.0.1", False), ("134744072", True), ("[2001:4860:4860::8888]", True),
+             ("[fd00::2]", False), ("[2001:db8::1]", False), ("[::ffff:10.0.0.1]", False), ("10.1", False), ("8.8.2056", True),
+             ("1.2.3.4.5", True), ("256.1.1.1", False), ("4294967296", False), ("[2001:20::1]", True), ("[2002::1]", False),
+             ("localhost.example", True)]
+_ADDR = """SELECT row_id, CASE WHEN row_id % 5 = 4 AND row_id % 2 = 0 THEN concat('http://', element_at_({odd}, row_id % {n} + 1), '/x')
+  WHEN row_id % 5 = 0 THEN concat('http://', row_id * 7919 % 256, '.', row_id * 31 % 256, '.0.1/x')
+  WHEN row_id % 5 = 1 THEN concat('ftp://', row_id, '.example/') WHEN row_id % 5 = 2 THEN 'https:///nohost' ELSE url END AS url
+  FROM {urls}"""
+_ODD_LIST = ", ".join(f"'{h}'" for h, _ in ODD_HOSTS)
+_addr = lambda array, at: _ADDR.replace("{n}", str(len(ODD_HOSTS))).replace("element_at_", at).replace("{odd}", array)
+add("addr", _addr(f"[{_ODD_LIST}]", "list_extract").replace("{urls}", "urls"), "urls")
 
 
 @register("dq_public_http", query(
     f"""SELECT row_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'unsupported_scheme' WHEN host = '' THEN 'missing_host'
-       WHEN {_BLOCK} THEN 'blocked_private_or_local_address' END AS block_reason
+       WHEN odd IN ({', '.join(f"'{h}'" for h, ok in ODD_HOSTS if not ok)}) THEN 'blocked_private_or_local_address'
+       WHEN odd IS NULL AND ({_BLOCK}) THEN 'blocked_private_or_local_address' END AS block_reason
        FROM (SELECT *, CASE WHEN regexp_matches(host, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN
              split_part(host, '.', 1)::BIGINT * 16777216 + split_part(host, '.', 2)::BIGINT * 65536
              + split_part(host, '.', 3)::BIGINT * 256 + split_part(host, '.', 4)::BIGINT END AS num
-       FROM (SELECT row_id, CASE WHEN regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN trim(url)
+       FROM (SELECT row_id, CASE WHEN row_id % 5 = 4 AND row_id % 2 = 0 THEN url[8:-3] END AS odd, CASE WHEN regexp_matches(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN trim(url)
              ELSE 'https://' || trim(url) END AS t, lower(split_part(t, '://', 1)) AS scheme,
              lower(split_part(split_part(split_part(split_part(split_part(substr(t, strpos(t, '://') + 3), '#', 1), '?', 1), '/', 1),
                '@', -1), ':', 1)) AS host FROM addr))""", "addr"))
 def dq_public_http(spark, sf):
-    d = spark.sql(_ADDR, urls=views.urls(spark, sf))
+    d = spark.sql(_addr(f"array({_ODD_LIST})", "element_at").replace("row_id % 21 + 1", "CAST(row_id % 21 + 1 AS INT)"),
+                  urls=views.urls(spark, sf))
     return Q.public_http_error(d).select("row_id", "block_reason")
