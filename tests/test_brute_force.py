@@ -80,11 +80,11 @@ def test_similar_cases(spark):
     d = with_tokens(url_frame(spark, urls())).cache()
     labelled = d.select("row_id", "url", F.lit("benign").alias("type"))
     cases = S.case_index(labelled, "row_id", 60)
-    found = S.similar_cases(d, cases, max_cases=60)
+    found = S.similar_cases(d, cases, floor=0.25)
     got = {r.row_id: [(c.case_id, round(c.similarity, 9), c.shared) for c in r.cases] for r in found.collect()}
     sets = {r.row_id: set(r.tokens) for r in d.collect()}
     for i, a in sets.items():
-        scored = [(-len(a & sets[j]) / len(a | sets[j]), j) for j in range(60) if a & sets[j]]
+        scored = [(-len(a & sets[j]) / len(a | sets[j]), j) for j in range(60) if len(a & sets[j]) >= 0.25 * len(a | sets[j])]
         want = [(j, round(-s, 9), sorted(a & sets[j])) for s, j in sorted(scored)[:3]]
         assert got[i] == want
 

@@ -107,7 +107,7 @@ FEATURE_CATEGORIES = {
 }
 WEIGHT_SALIENCY, WEIGHT_DICTIONARY, WEIGHT_CASE = 0.45, 0.30, 0.25
 CASE_LABEL_MISMATCH_WEIGHT = 0.72
-MAX_CASES = 2500
+CASE_SIMILARITY_FLOOR = 0.5
 TOP_CASES = 3
 
 # --- dictionary profiles: (top common, top per class, minimum document frequency)

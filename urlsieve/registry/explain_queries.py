@@ -21,14 +21,14 @@ from .page_queries import scored_pages
 from .sqltext import add, inlist, query
 from .url_queries import VALUE_SQL, _CATEGORY_SQL
 
-add("case_ids", "SELECT row_id AS case_id, type AS label FROM urls WHERE trim(url) <> '' ORDER BY row_id LIMIT 2500", "urls")
+add("case_ids", "SELECT row_id AS case_id, type AS label FROM urls WHERE trim(url) <> ''", "urls")
 add("sizes", "SELECT row_id, count(*) AS size FROM tok_ids GROUP BY row_id", "tok_ids")
 add("sim", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY similarity DESC, case_id) AS rank
   FROM (SELECT i.row_id, i.case_id, c.label, n / (a.size + b.size - n) AS similarity
     FROM (SELECT x.row_id, y.row_id AS case_id, count(*) AS n FROM tok_ids x JOIN tok_ids y USING (token)
           WHERE y.row_id IN (SELECT case_id FROM case_ids) GROUP BY ALL) i
     JOIN sizes a ON a.row_id = i.row_id JOIN sizes b ON b.row_id = i.case_id
-    JOIN case_ids c ON c.case_id = i.case_id)) WHERE rank <= 3""", "tok_ids", "sizes", "case_ids")
+    JOIN case_ids c ON c.case_id = i.case_id) WHERE similarity >= 5e-1) WHERE rank <= 3""", "tok_ids", "sizes", "case_ids")
 add("xb", f"""SELECT row_id, prediction, confidence, risk_score, url_score FROM (
   {decide_sql(source='(SELECT *, greatest(0e0, least(1e0, raw_score)) AS url_score FROM score_s)')})""", "score_s")
 add("casescore", """SELECT s.row_id, x.token, max(similarity * CASE WHEN s.label = prediction THEN 1e0 ELSE 72e-2 END) AS score

@@ -32,7 +32,7 @@ def src_labelled_urls(spark, sf):
 
 @register("src_case_index", query(
     """SELECT row_id AS case_id, trim(url) AS url, type AS label, len(list_distinct(tokens))::BIGINT AS tokens
-       FROM url_tok WHERE trim(url) <> '' ORDER BY row_id LIMIT 2500""", "url_tok"))
+       FROM url_tok WHERE trim(url) <> ''""", "url_tok"))
 def src_case_index(spark, sf):
     d = S.case_index(views.urls(spark, sf).withColumnsRenamed({"url": "URL", "type": "label"}), "row_id")
     return d.select("case_id", "url", "label", F.size(F.array_distinct("tokens")).cast("long").alias("tokens"))
