@@ -77,8 +77,9 @@ def identify(docs: DataFrame, model: dict, text: str = "text", out: str = "lang_
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    predicted = F.pandas_udf(_predictor(shared), "lang string, score double")(F.col(text))
-    return docs.withColumn("__found", predicted).withColumns({
+    # Marked so that a later filter on the result does not make Spark parse every text twice.
+    predict = F.pandas_udf(_predictor(shared), "lang string, score double").asNondeterministic()
+    return docs.withColumn("__found", predict(F.col(text))).withColumns({
         out: F.col("__found.lang"), score: F.col("__found.score")}).drop("__found")
 
 

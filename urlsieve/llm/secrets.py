@@ -112,4 +112,5 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     found = F.pandas_udf(run, "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    found = found.asNondeterministic()  # a filter on the result does not scan twice
     return docs.withColumn("__spans", found(F.col(text))).withColumns({n: F.col(f"__spans.{n}") for n in names}).drop("__spans")
