@@ -15,7 +15,6 @@ import json
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -34,7 +33,7 @@ MAGIC = b"PLANES01"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 TEXT_BYTES = 1 << 20  # of text given to the tokenizer at once
-CACHE_WORDS = 1 << 19  # encoded pieces of text a worker remembers
+CACHE_WORDS = 600_000  # encoded pieces of text a worker remembers
 
 
 def to_planes(ids: np.ndarray, unit: str) -> list[bytes]:
@@ -188,12 +187,12 @@ class Encoder:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         fresh = self._encode(list({w for p in pieces for w in p if w not in known}))
-        if len(known) + len(fresh) <= CACHE_WORDS:
-            known.update(fresh)
-        else:
-            known = ChainMap(fresh, known)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
+        known.update(fresh)
+        found = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in pieces]
+        if len(known) > CACHE_WORDS:
+            for w in fresh:
+                del known[w]
+        return found
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, key: str = "doc_id",
