@@ -86,12 +86,12 @@ def test_gradient_steps_lower_the_loss(spark, sf):
     weights = spark.createDataFrame([("tok:http", c, 0.0) for c in K.CLASSES], "feature string, class string, weight double")
 
     def loss(w):
-        m = M.margins(features, w, 100000).join(labels, "row_id")
+        m = M.margins(features, w).join(labels, "row_id")
         sign = F.when(F.col("label") == F.col("class"), 1.0).otherwise(-1.0)
         return m.agg(F.sum(F.log1p(F.exp(-sign * F.col("margin"))) * F.col("sample_weight")) / F.sum("sample_weight")).first()[0]
 
-    first = M.gradient_step(features, weights, labels, 100000, rate=0.5).persist()
-    second = M.gradient_step(features, first, labels, 100000, rate=0.5)
+    first = M.gradient_step(features, weights, labels, rate=0.5).persist()
+    second = M.gradient_step(features, first, labels, rate=0.5)
     start = float(np.log(2))
     assert loss(second) < loss(first) < start
 
