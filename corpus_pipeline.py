@@ -20,10 +20,11 @@ ORACLE_SQL = None  # cross-parsing has no SQL
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that have no language: null text, or not one letter. The rest keep their label; a
-    missing one is filled with the prediction, which is learned from the labelled documents."""
-    found = language.identify(docs, language.fit(docs), out="__lang", score="__score")
-    return found.filter(F.col("__lang") != language.UNDETERMINED) \
-        .withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    missing one is filled with the prediction, which is learned from the labelled documents. Where no label could be
+    learned from, it stays null."""
+    found = language.identify(docs, language.fit(docs), out="__lang", score="__score", lettered="__lettered")
+    learned = F.when(F.col("__lang") != language.UNDETERMINED, F.col("__lang"))
+    return found.filter("__lettered").withColumn("lang", F.coalesce("lang", learned)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

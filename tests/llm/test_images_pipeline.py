@@ -125,6 +125,16 @@ def test_pipeline_of_no_documents(spark, sf, corpus):
     assert docs.count() == 0
 
 
+def test_pipeline_without_any_language(spark, sf, corpus):
+    import corpus_pipeline as P
+
+    docs = corpus.withColumn("lang", F.lit(None).cast("string"))
+    rows = P.language_id(spark, docs, sf).select("doc_id", "lang").collect()
+    letters = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sorted(map(repr, (r.doc_id for r in rows))) == sorted(map(repr, letters))
+    assert {r.lang for r in rows} == {None} and {9005, 9006}.isdisjoint(letters) and 9001 in letters
+
+
 def test_entry_points_without_the_operators(tmp_path):
     code = ("import sys; sys.modules['urlsieve.llm'] = None; sys.path.insert(0, %r); import __spark_entry__ as e; "
             "assert 'pipeline' not in e.queries() and 'decide_fused' in e.queries() and e.oracle_sql()" % str(REPO))

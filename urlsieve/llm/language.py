@@ -66,21 +66,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
             "bits": [float(np.log2(1 + sum(len(p) + 1 for p in parts[n]))) for n in names]}
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: dict, text: str = "text", out: str = "lang_pred", score: str = "score",
+             lettered: str | None = None) -> DataFrame:
     """`docs` with the predicted language and a score from 0 to 1; only the text is looked at, and all of it.
 
     A text is lower-cased, everything between letters becomes one space, and blocks of BLOCK characters are parsed
     into the longest phrases that the sample of a language holds. Phrases times the logarithm of the sample's
     length, a character, is the cross-parsing entropy; the lowest wins, ties go to the first label by code point.
     The score is 1 minus the lowest by the second lowest (1 with one language). Null, a text without a letter, or
-    a model without languages: `und`, score 0. Columns named like the new ones are replaced.
+    a model without languages: `und`, score 0. `lettered` names a further column: whether the text has a letter.
+    Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     # Marked so that a later filter on the result does not make Spark parse every text twice.
-    predict = F.pandas_udf(_predictor(shared), "lang string, score double").asNondeterministic()
-    return docs.withColumn("__found", predict(F.col(text))).withColumns({
-        out: F.col("__found.lang"), score: F.col("__found.score")}).drop("__found")
+    predict = F.pandas_udf(_predictor(shared), "lang string, score double, lettered boolean").asNondeterministic()
+    new = {out: F.col("__found.lang"), score: F.col("__found.score")}
+    if lettered:
+        new[lettered] = F.col("__found.lettered")
+    return docs.withColumn("__found", predict(F.col(text))).withColumns(new).drop("__found")
 
 
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +130,7 @@ def _predictor(shared: Broadcast):
         tables, symbol = _dense(model)
         for texts in batches:
             texts = texts.tolist()
-            langs, scores, i = [], [], 0
+            langs, scores, lettered, i = [], [], [], 0
             while i < len(texts):
                 j, chars = i, 0
                 while j < len(texts) and (j == i or chars + len(texts[j] or "") <= RUN_CHARS):
@@ -134,6 +138,7 @@ def _predictor(shared: Broadcast):
                     j += 1
                 entropy, size = _entropies(texts[i:j], tables, symbol, bits)
                 for x, n in zip(entropy.T, size.tolist()):
+                    lettered.append(n > 0)
                     if not n or not names:
                         langs.append(UNDETERMINED), scores.append(0.0)
                         continue
@@ -142,7 +147,7 @@ def _predictor(shared: Broadcast):
                     rest = np.delete(x, best)
                     scores.append(float(1 - x[best] / rest.min()) if len(rest) else 1.0)
                 i = j
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            yield pd.DataFrame({"lang": langs, "score": scores, "lettered": lettered})
 
     return run
 
