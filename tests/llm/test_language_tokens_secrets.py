@@ -95,6 +95,18 @@ def test_secrets(spark):
     assert X.scan(docs.limit(0)).count() == 0
 
 
+def novel(text):
+    return [text[a:b] for a, _, b in X.novel_spans(text, text.lower(), X.base_spans(text, text.lower()))]
+
+
+def test_secrets_are_whole_on_both_sides_of_a_word():
+    key = "Zk3q9XvB7Lw2TtYp0sQmGh5RnD8cKj4VxW6aUeNf"
+    for text in (f"{key} # secret", f"{key} -- is our secret", f"x {key}" + " " * 24 + "secret", "secret" + " " * 96 + key,
+                 f"token and {'some words ' * 7}{key} secret", f"secret {key}"):
+        assert novel(text) == [key], text
+    assert novel(f"{key}" + " " * 25 + "secret") == novel("secret" + " " * 97 + key) == []
+
+
 @pytest.mark.parametrize("rule", K.RULES)
 def test_token_counts_agree_with_a_vote_of_characters(spark, rule):
     texts = [None, "", "\n", "\n\n\n", "one line", "ab\ncd\n", "é\n😀😀\n  x\n\n\ny", "word " * 3000 + "\n" + "z" * 2000, "a\r\n\r\nb"]

@@ -27,7 +27,7 @@ IDENTIFIERS = ("password secret token api_key apiKey access_key private_key publ
                "function const let var string integer boolean static public private http https www com org net json xml "
                "yaml html utf8 base64 sha256 md5 uuid index version release build test debug error message value name type")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-BEFORE, AFTER = 24, 96  # how far from a sensitive word a candidate may begin
+BEFORE, AFTER = 24, 96  # how far before a sensitive word a candidate may end, and how far behind one it may begin
 AROUND = 512  # characters on each side that prime the dictionary
 NOVEL = 0.85  # marginal bytes a character
 
@@ -52,26 +52,26 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans near a sensitive word, outside the base spans, whose marginal compressed size is near their length.
 
+    Candidates are whole runs; the distance to a word counts from their nearer end.
     Of a candidate's size, that of the empty text is taken off, both compressed with a dictionary of identifiers
     and of the characters around the candidate.
     """
     if len(low) != len(text):  # a letter whose lower case is longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    near: set[tuple[int, int]] = set()
-    for word in SENSITIVE:
-        at = low.find(word)
-        while at >= 0:
-            for m in CANDIDATE.finditer(text, max(0, at - BEFORE), min(len(text), at + len(word) + AFTER)):
-                s, e = m.span()
-                if e == at + len(word) + AFTER:  # the window cut it
-                    e = CANDIDATE.match(text, s).end()
-                near.add((s, e))
-            at = low.find(word, at + len(word))
+    zones = sorted((max(0, m - BEFORE), m + len(word) + AFTER) for word in SENSITIVE for m in _places(low, word))
+    if not zones:
+        return []
     found = []
-    last = 0
-    for s, e in sorted(near):
+    zone, reach = 0, -1  # the zones that begin up to a candidate's end reach this far
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        while zone < len(zones) and zones[zone][0] <= e:
+            reach = max(reach, zones[zone][1])
+            zone += 1
+        if reach < s:
+            continue
         value = text[s:e]
-        if s < last or any(s < b and a < e for a, _, b in base) or not (
+        if any(s < b and a < e for a, _, b in base) or not (
                 any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
         around = (IDENTIFIERS + text[max(0, s - AROUND):s] + text[e:e + AROUND]).encode()
@@ -80,10 +80,16 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
         marginal = len(zip_.compress(value.encode())) - len(zip_.compress(b""))
         if marginal >= NOVEL * len(value):
             found.append((s, 3, e))
-            last = e
     return found
 
 
+def _places(low: str, word: str) -> Iterator[int]:
+    at = low.find(word)
+    while at >= 0:
+        yield at
+        at = low.find(word, at + len(word))
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
