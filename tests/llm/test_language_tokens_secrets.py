@@ -107,6 +107,17 @@ def test_secrets_are_whole_on_both_sides_of_a_word():
     assert novel(f"{key}" + " " * 25 + "secret") == novel("secret" + " " * 97 + key) == []
 
 
+def test_random_secrets_of_every_length():
+    rng = random.Random(7)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in ("ABCDEF" + digits, upper + "234567", upper + upper.lower() + digits + "+/"):
+        for n in (20, 40, 48, 49, 63, 64, 70, 96, 128, 256, 400, 600, 1200, 2000):
+            key = "".join(rng.choice(alphabet) for _ in range(n - 2)) + "A7"
+            assert novel(f"the private part is {key} as agreed") == [key], (alphabet, n)
+    for repeated in ("Zk3q9XvB7Lw2TtYp0sQm" * 5, "aB3" * 40, "A" * 300 + "1", "authorization_settings_2_" * 20):
+        assert novel(f"the private part is {repeated} as agreed") == []
+
+
 @pytest.mark.parametrize("rule", K.RULES)
 def test_token_counts_agree_with_a_vote_of_characters(spark, rule):
     texts = [None, "", "\n", "\n\n\n", "one line", "ab\ncd\n", "é\n😀😀\n  x\n\n\ny", "word " * 3000 + "\n" + "z" * 2000, "a\r\n\r\nb"]

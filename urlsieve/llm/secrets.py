@@ -29,6 +29,8 @@ IDENTIFIERS = ("password secret token api_key apiKey access_key private_key publ
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 BEFORE, AFTER = 24, 96  # how far before a sensitive word a candidate may end, and how far behind one it may begin
 AROUND = 512  # characters on each side that prime the dictionary
+PIECE = 48  # characters compressed at once: from 64 on, zstandard would also shorten random characters by an entropy code
+BLOCK_HEADER = 3  # bytes
 NOVEL = 0.85  # marginal bytes a character
 
 
@@ -54,7 +56,8 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
 
     Candidates are whole runs; the distance to a word counts from their nearer end.
     Of a candidate's size, that of the empty text is taken off, both compressed with a dictionary of identifiers
-    and of the characters around the candidate.
+    and of the characters around the candidate. A candidate is one stream with a block for each PIECE, so that what
+    it repeats of itself is found, but the few kinds of its characters do not count as a pattern.
     """
     if len(low) != len(text):  # a letter whose lower case is longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -77,12 +80,21 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
         around = (IDENTIFIERS + text[max(0, s - AROUND):s] + text[e:e + AROUND]).encode()
         zip_ = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False,
                                         dict_data=zstandard.ZstdCompressionDict(around, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-        marginal = len(zip_.compress(value.encode())) - len(zip_.compress(b""))
+        marginal = _stream_size(zip_, value) - len(zip_.compress(b""))
         if marginal >= NOVEL * len(value):
             found.append((s, 3, e))
     return found
 
 
+def _stream_size(zip_: zstandard.ZstdCompressor, value: str) -> int:
+    """Compressed size of `value` in blocks of PIECE, without the headers of the blocks; the frame's end is one block."""
+    stream = zip_.compressobj(size=len(value))
+    size = 0
+    for at in range(0, len(value), PIECE):
+        size += len(stream.compress(value[at:at + PIECE].encode())) + len(stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)) - BLOCK_HEADER
+    return size + len(stream.flush())
+
+
 def _places(low: str, word: str) -> Iterator[int]:
     at = low.find(word)
     while at >= 0:
