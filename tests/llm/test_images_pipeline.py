@@ -59,6 +59,27 @@ def test_recall_against_all_pairs(spark):
     assert all(kind[i] == kind[c] for i, c in got.items())
 
 
+def test_copies_that_share_one_or_two_entries(spark):
+    def halves(f):
+        return {(t, x) for bits in np.ascontiguousarray(f["bits"]).view("<u4").reshape(-1, 2).tolist() for t, x in enumerate(bits)}
+
+    rows = []
+    for seed in range(80):
+        rng = np.random.default_rng(seed)
+        base = rng.integers(100, 250, (12, 64))
+        other = np.clip(base + rng.integers(-50, 51, base.shape), 100, 249)
+        f = I.features([base, other])
+        ids = [I.image_id(i.astype(np.uint8), g) for i, g in zip((base, other), f)]
+        a, b = f if ids[0] < ids[1] else f[::-1]
+        if 1 <= len(halves(a) & halves(b)) <= 2 and I.consensus(a, b)[0] >= max(I.LEAST_INLIERS, I.LEAST_SHARE * min(len(a), len(b))):
+            rows = [(i, "\n".join(",".join(map(str, r)) for r in x)) for i, x in enumerate((base, other))]
+            break
+    read = lambda t: __import__("numpy").array([r.split(",") for r in t.split("\n")], "u1")
+    assert len(rows) == 2
+    got = I.find_copies(spark.createDataFrame(rows, "page_id long, html string"), draw=read).collect()
+    assert {(r.copy_class, r.n_links) for r in got} == {(0, 1)}
+
+
 def test_odd_images(spark):
     html = "<p>" + " ".join(f"word{i * i % 97}" for i in range(900)) + "</p>"
     rows = [(1, None), (2, ""), (3, "<p>x"), (4, html), (5, html), (5, html), (None, html), (6, html + "<p>more text below it</p>"),
