@@ -10,6 +10,7 @@ from urlsieve import constants as K
 from urlsieve.functions.tokens import with_tokens
 from urlsieve.operators import features as FE
 from urlsieve.operators import lexicon as L
+from urlsieve.operators import model as M
 from urlsieve.operators import pages as P
 from urlsieve.operators import ratelimit as R
 from urlsieve.operators import similar as S
@@ -138,3 +139,9 @@ def test_unseen_label_is_an_error(spark):
     import pytest
     with pytest.raises(Exception, match="unseen label"):
         FE.encode_labels(spark.createDataFrame([("z",)], "type string"), index).collect()
+
+
+def test_specialist_vocabulary_is_an_argument(spark):
+    d = M.with_grams(url_frame(spark, urls())).withColumn("binary_label", (F.col("row_id") % 2).cast("double"))
+    sizes = [len(M.specialist_pipeline(1, vocabulary=v).fit(d).stages[0].vocabulary) for v in (20, 30)]
+    assert sizes == [20, 30]

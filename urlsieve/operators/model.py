@@ -192,10 +192,10 @@ def shuffle_key(key: str = "row_id", url: str = "url", seed: int = 42) -> Column
     return F.md5(F.concat(F.col(key).cast("string"), F.lit("|"), F.col(url), F.lit(f"#{seed}")))
 
 
-def specialist_pipeline(max_iter: int = 10) -> Pipeline:
-    """Phishing probability from character n-gram counts."""
+def specialist_pipeline(max_iter: int = 10, vocabulary: int = K.TFIDF_MAX_FEATURES) -> Pipeline:
+    """Phishing probability from character n-gram counts; the `vocabulary` most frequent n-grams count."""
     return Pipeline(stages=[
-        CountVectorizer(inputCol="grams", outputCol="features", vocabSize=K.TFIDF_MAX_FEATURES, minDF=K.TFIDF_MIN_DF),
+        CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=K.TFIDF_MIN_DF),
         LogisticRegression(featuresCol="features", labelCol="binary_label", regParam=1e-3, maxIter=max_iter),
     ])
 
