@@ -8,6 +8,7 @@ from . import curriculum as C
 from . import images as I
 from . import jaccard_join as J
 from . import language as L
+from . import periodic as R
 from . import secrets as X
 from . import sharding as S
 from . import token_counts as K
@@ -91,3 +92,28 @@ def op7_tool_calls(spark, sf_dir):
 @register
 def op4_image_copies(spark, sf_dir):
     return I.find_copies(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+def with_planted_period(docs):
+    """`docs` where one document in ten, by the checksum of its id, has the rest of its words from some position on
+    replaced by a repeated stretch; such a text is its words joined by a space."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    cut = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))) \
+        .withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    repeated = F.transform(F.sequence("a", n - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), " ")
+    return cut.withColumn("text", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text"))).drop("words", "a", "p")
+
+
+@register
+def op11_periodic_runs(spark, sf_dir):
+    found = R.periodic_runs(with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.withColumn("best", R.best_run(F.col("runs")))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                       F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
