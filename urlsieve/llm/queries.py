@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import alignment as G
 from . import curriculum as C
 from . import images as I
 from . import jaccard_join as J
@@ -117,3 +118,14 @@ def op11_periodic_runs(spark, sf_dir):
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers as P
+
+    aligned = G.alignments(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return G.with_link_counts(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
