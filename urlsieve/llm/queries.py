@@ -9,6 +9,7 @@ from . import curriculum as C
 from . import images as I
 from . import jaccard_join as J
 from . import language as L
+from . import lsh_forest as D
 from . import periodic as R
 from . import secrets as X
 from . import sharding as S
@@ -129,3 +130,8 @@ def op12_token_alignment(spark, sf_dir):
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return G.with_link_counts(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@register
+def op13_lsh_forest(spark, sf_dir):
+    return D.forest_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_id")
