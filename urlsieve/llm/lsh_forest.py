@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import broadcast_counted, text_buffers
+from .common import text_buffers
 from .components import components
 from .shingles import mix, shingle_sets
 from .tsearch import block_links
@@ -56,16 +56,17 @@ def forest_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     classes = written(named.groupBy("class_id").agg(
         F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "text_hash")).alias("row"),
         F.first("n").alias("n"), F.first("forest").alias("forest")), "classes")
-    posts = classes.select("class_id", "n", "row", "forest", F.col("class_id").alias("label"))
+    posts = classes.select("class_id", "n", "forest", F.col("class_id").alias("label"))
+    rows = classes.select("class_id", F.col("row.key").alias("w_key"), F.col("row.text_hash").alias("w_hash"))
     links, first = None, 0
     for number in ROUNDS:
-        found = _compared(source, _neighbours(posts, first, first + number), k, percent)
+        found = _compared(source, rows, _neighbours(posts, first, first + number), k, percent)
         links = found if links is None else links.unionByName(found)
         first += number
         roots = written(components(links), "roots")
         posts = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left") \
-            .select("class_id", "n", "row", "forest", F.coalesce("root", "class_id").alias("label"))
-    links = links.unionByName(_compared(source, _visits(written(posts, "posts"), percent), k, percent))
+            .select("class_id", "n", "forest", F.coalesce("root", "class_id").alias("label"))
+    links = links.unionByName(_compared(source, rows, _visits(posts, percent), k, percent))
     ids = classes.select("class_id", "least").join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left") \
         .withColumn("root", F.coalesce("root", "class_id"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -76,13 +77,15 @@ def forest_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         F.col("key").eqNullSafe(own).alias("kept"))
 
 
-def _tree(tree, depth: int = DEPTH):
-    """The first `depth` values of a tree's signature, as bytes in sorting order."""
-    return F.substring("forest", tree * (2 * DEPTH) + 1, F.lit(2 * depth))
+def _trees(posts: DataFrame, first: int, last: int) -> DataFrame:
+    """class_id, n, label, tree, signature (bytes in sorting order) for the trees from `first` to before `last`."""
+    tree = F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("tree")
+    return posts.select("class_id", "n", "label", "forest", tree).withColumn(
+        "signature", F.substring("forest", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))).drop("forest")
 
 
 def _neighbours(posts: DataFrame, first: int, last: int) -> DataFrame:
-    """Blocks to compare: class_id, label, row, block, visitor. In the sorted order of each tree, successive classes
+    """Blocks to compare: class_id, label, block, visitor. In the sorted order of each tree, successive classes
     that share the first DEPTHS[0] values and have different labels stand in one block; a chain of them is cut by
     size, and the class at the cut stands on both sides. Classes that no neighbour calls for stay out.
 
@@ -90,10 +93,8 @@ def _neighbours(posts: DataFrame, first: int, last: int) -> DataFrame:
     several partitions. The two classes at such a cut are left to the other trees and to the regions.
     """
     parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = posts.select("class_id", "label", "n", "row", "forest", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("tree")) \
-        .withColumn("signature", _tree(F.col("tree"))).drop("forest") \
-        .repartitionByRange(parts, "tree", "signature", "class_id").sortWithinPartitions("tree", "signature", "class_id")
-    row = posts.schema["row"].dataType.simpleString()
+    order = _trees(posts, first, last).repartitionByRange(parts, "tree", "signature", "class_id") \
+        .sortWithinPartitions("tree", "signature", "class_id")
     shared = 2 * DEPTHS[0]
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,46 +103,41 @@ def _neighbours(posts: DataFrame, first: int, last: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         before, held, block = None, 0, 0  # the class before this one, size and number of the open block
         for batch in batches:
-            out = []  # row of the batch, or the held one; block
-            tree, label, n = (batch.column(c).to_pylist() for c in ("tree", "label", "n"))
-            signature = batch.column("signature").to_pylist()
-            for i in range(len(batch)):
-                now = (tree[i], signature[i][:shared], label[i])
-                if before is not None and now[:2] == before[0][:2] and now[2] != before[0][2]:
-                    if held == 0 or held + n[i] > BLOCK_SHINGLES:
-                        block, held = block + 1, before[1]
-                        out.append((before[2], block))
-                    out.append((batch.slice(i, 1), block))
-                    held += n[i]
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("tree", "signature", "class_id", "label", "n"))
+            for tree, signature, class_id, label, n in zip(*columns):
+                now = (tree, signature[:shared], class_id, label, n)
+                if before is not None and now[:2] == before[:2] and label != before[3]:
+                    if held == 0 or held + n > BLOCK_SHINGLES:
+                        block, held = block + 1, before[4]
+                        out.append((*before[2:4], part << 32 | block))
+                    out.append((class_id, label, part << 32 | block))
+                    held += n
                 else:
                     held = 0
-                before = (now, n[i], batch.slice(i, 1))
+                before = now
             if out:
-                rows = pa.Table.from_batches([x for x, _ in out]).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in ("class_id", "label", "row")),
-                     pa.array([part << 32 | b for _, b in out], pa.int64()), pa.array([False] * len(out))],
-                    ["class_id", "label", "row", "block", "visitor"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out)), pa.array([False] * len(out))],
+                                                 ["class_id", "label", "block", "visitor"])
 
-    return order.mapInArrow(chains, f"class_id long, label long, row {row}, block long, visitor boolean")
+    return order.mapInArrow(chains, "class_id long, label long, block long, visitor boolean")
 
 
 def _visits(posts: DataFrame, percent: int) -> DataFrame:
-    """Blocks to compare: class_id, label, row, block, visitor, for the regions that hold several components."""
-    todo = posts.select("class_id", "label", "n", "forest", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    taken = None
+    """Blocks to compare: class_id, label, block, visitor, for the regions that hold several components."""
+    todo, taken = _trees(posts, 0, TREES), None
     for depth in DEPTHS:
-        regions = todo.withColumn("region", F.xxhash64("tree", F.lit(depth), _tree(F.col("tree"), depth)))
+        regions = todo.withColumn("region", F.xxhash64("tree", F.substring("signature", 1, 2 * depth)))
         held = regions.groupBy("region", "label").agg(F.count("*").alias("classes")).groupBy("region").agg(
             F.sum("classes").alias("classes"), F.max_by("label", F.struct("classes", "label")).alias("common"),
             F.max("classes").alias("most")).filter("classes > most")
         crowded = F.col("classes") - F.col("most") > CROWDED
         left = written(regions.join(held, "region").select(
-            "class_id", "label", "n", "tree", "forest", "region", "common",
+            "class_id", "label", "n", "tree", "signature", "region", "common",
             (crowded & F.lit(depth != DEPTHS[-1])).alias("crowded")), "regions")
         some = left.filter("not crowded").select("class_id", "label", "n", "region", "common")
         taken = some if taken is None else taken.unionByName(some)
-        todo = left.filter("crowded").select("class_id", "label", "n", "tree", "forest")
+        todo = left.filter("crowded").select("class_id", "label", "n", "tree", "signature")
     taken = written(taken, "taken")
 
     sizes = taken.groupBy("region").agg(F.count("*").alias("holders"))
@@ -162,15 +158,13 @@ def _visits(posts: DataFrame, percent: int) -> DataFrame:
     here = taken.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("block")
     needed = here.unionByName(visits.select("block")).distinct()
     goes = visits.unionByName(placed.join(needed, "block").select("class_id", "block", F.lit(False).alias("visitor")))
-    return goes.join(posts.select("class_id", "label", "row"), "class_id").select("class_id", "label", "row", "block", "visitor")
+    return goes.join(posts.select("class_id", "label"), "class_id").select("class_id", "label", "block", "visitor")
 
 
-def _compared(source: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between labels found in the blocks of `wanted`, on full shingle sets."""
-    wanted = written(wanted, "wanted")
-    goes = wanted.groupBy("class_id", "label", F.col("row.key").alias("w_key"), F.col("row.text_hash").alias("w_hash")) \
-        .agg(F.collect_set(F.struct("block", "visitor")).alias("goes"))
-    goes = written(goes, "goes")
+def _compared(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between labels found in the blocks of `wanted`, on full shingle sets; `rows` names a row of each class."""
+    goes = wanted.groupBy("class_id", "label").agg(F.collect_set(F.struct("block", "visitor")).alias("goes"))
+    goes = written(goes.join(rows, "class_id"), "goes")
     texts = source.join(goes, (F.col("text_hash") == F.col("w_hash")) & F.col("key").eqNullSafe(F.col("w_key"))) \
         .select("class_id", "label", "goes", "text")
     sets = texts.mapInArrow(_sets(k), "class_id long, label long, block long, visitor boolean, tokens binary")
