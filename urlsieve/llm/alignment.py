@@ -6,7 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,12 @@ from ..session import written
 from .common import text_buffers, text_runs
 
 TEXT_BYTES = 1 << 20  # of text aligned at once
-CACHE_WORDS = 300_000  # stretches between blanks whose ids a worker remembers
-CACHE_WINDOWS = 300_000  # windows whose alignment a worker remembers
-LONG_WINDOW = 64  # ids; longer windows are aligned anew each time
+CACHE_WORDS = 300_000  # stretches between blanks whose ids a worker remembers, the first that it meets
+CACHE_WINDOWS = 300_000  # windows whose alignment a worker remembers, the first that it meets
+LONG_WINDOW = 4096  # ids; windows that come with a longer one are not remembered
+AT_ONCE = 4096  # new stretches encoded as one text
 HEAD_PAIRS = 1 << 20  # id pairs whose counts are broadcast (17 bytes each); the rest are joined
+OTHER = np.uint32(1 << 31)  # marks ids of the second tokenizer in a window
 MARK = "▁"
 
 
@@ -74,100 +76,145 @@ class Pieces:
         return self.model.encode(texts, num_threads=1) if texts else []
 
 
-def align_window(a: list[int], b: list[int], a_size, b_size) -> tuple[str, bytes, int]:
-    """(groups as text, links as packed pairs, number of groups) of two id lists over the same bytes. A link joins
-    two tokens that share a byte; a group ends where a token of both lists ends."""
-    a_end, b_end = list(accumulate(a_size[x] for x in a)), list(accumulate(b_size[x] for x in b))
-    groups, links, i, j, i0, j0 = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append(a[i] << 32 | b[j])
-        x, y = a_end[i], b_end[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            i0, j0 = i, j
-    return ";".join(groups), np.array(links, "<i8").tobytes(), len(groups)
+def align_windows(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, ends: np.ndarray,
+                  names: list[str]) -> tuple[list[str], list[bytes], np.ndarray]:
+    """For successive windows that end at the byte offsets `ends`: groups as text, links as packed pairs, numbers
+    of groups. `a` and `b` are the ids of all windows, over the same bytes. A link joins two tokens that share a byte, so
+    there is one for each stretch between two ends of either; a group ends where a token of both ends."""
+    a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+    cut = np.union1d(a_end, b_end)
+    of_a, of_b = np.searchsorted(a_end, cut), np.searchsorted(b_end, cut)
+    links = (a[of_a].astype("<i8") << 32 | b[of_b]).tobytes()
+    both = np.flatnonzero((a_end[of_a] == cut) & (b_end[of_b] == cut))
+    left, right = [names[x] for x in a.tolist()], [names[x] for x in b.tolist()]
+    to_a, to_b = (of_a[both] + 1).tolist(), (of_b[both] + 1).tolist()
+    groups = [",".join(left[s:e]) + "|" + ",".join(right[t:f]) for s, e, t, f in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+    at_link = (8 * np.searchsorted(cut, ends, "right")).tolist()
+    at_group = np.searchsorted(cut[both], ends, "right")
+    bounds = at_group.tolist()
+    return ([";".join(groups[g:h]) for g, h in zip([0, *bounds], bounds)],
+            [links[s:e] for s, e in zip([0, *at_link], at_link)], np.diff(at_group, prepend=0))
 
 
 class Aligner:
-    """What a worker keeps between batches: both tokenizers, ids of words, alignments of windows."""
+    """What a worker keeps between batches: both tokenizers, ids of words, alignments of windows.
+
+    A window is the ids of both tokenizers between two anchors, packed: first those of one, then those of the other,
+    marked. Alignments have numbers; those of a full memory are given up after the batch.
+    """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")  # one blank between words: both tokenizers begin a token there
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.a_size, self.b_size = [np.array([len(x) for x in t.bytes]) for t in (self.a, self.b)]
-        self.a_list, self.b_list = self.a_size.tolist(), self.b_size.tolist()
+        self.names = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
         self.a_blank, self.b_blank = [np.array([x[:1] == b" " for x in t.bytes]) for t in (self.a, self.b)]
         self.by_words = self.a.by_words and self.b.by_words
-        self.a_known: dict[str, bytes] = {}
-        self.b_known: dict[str, bytes] = {}
-        self.unequal: set[str] = set()  # of the known words, those that do not come back
-        self.windows: dict[tuple[bytes, bytes], tuple[str, bytes, int]] = {}
-
-    def _equal(self, text: str, a: list[int], b: list[int]) -> bool:
-        """Both id lists spell a space and the text."""
-        want = b" " + text.encode()
-        return b"".join(map(self.a.bytes.__getitem__, a)) == want == b"".join(map(self.b.bytes.__getitem__, b))
+        self.words: dict[str, bytes] = {}  # the window of a stretch that is one
+        self.windows: dict[bytes, int] = {}
+        self.groups: list[str] = []
+        self.links: list[bytes] = []
+        self.numbers = np.zeros((0, 3), np.int64)  # tokens of both, groups
+
+    def _split(self, a: list[int], b: list[int], want: bytes) -> tuple[list[bytes], np.ndarray] | None:
+        """(windows, first bytes of them) of two id lists; None unless both spell `want`. A window begins where a
+        token of both begins with a blank and what came before ends at one byte."""
+        if not b"".join(map(self.a.bytes.__getitem__, a)) == want == b"".join(map(self.b.bytes.__getitem__, b)):
+            return None
+        a, b = np.array(a, "<u4"), np.array(b, "<u4")
+        a_at, b_at = np.flatnonzero(self.a_blank[a]), np.flatnonzero(self.b_blank[b])
+        a_start, b_start = np.cumsum(self.a_size[a]) - self.a_size[a], np.cumsum(self.b_size[b]) - self.b_size[b]
+        shared, x, y = np.intersect1d(a_start[a_at], b_start[b_at], assume_unique=True, return_indices=True)
+        of_a, of_b = np.append(a_at[x], len(a)), np.append(b_at[y], len(b))
+        both = np.empty(len(a) + len(b), "<u4")
+        both[np.arange(len(a)) + np.repeat(of_b[:-1], np.diff(of_a))] = a
+        both[np.arange(len(b)) + np.repeat(of_a[1:], np.diff(of_b))] = b | OTHER
+        at, packed = (4 * (of_a + of_b)).tolist(), both.tobytes()
+        return [packed[s:e] for s, e in zip(at, at[1:])], shared
+
+    def _learned(self, fresh: list[str]) -> tuple[dict[str, bytes], dict[str, list[bytes] | None]]:
+        """New stretches that are one window, and the windows of the others, None where the ids do not spell them.
+        Those without a blank are encoded many at once, as one text, the others one by one."""
+        one: dict[str, bytes] = {}
+        simple = [w for w in fresh if self.by_words and w and " " not in w and w == w.strip()]
+        for i in range(0, len(simple), AT_ONCE):
+            part = simple[i:i + AT_ONCE]
+            text = " ".join(part)
+            want = b" " + text.encode()
+            split = self._split(*self.a.encode([text]), *self.b.encode([text]), want)
+            if split and np.array_equal(split[1], np.flatnonzero(np.frombuffer(want, np.uint8) == 32)):
+                one.update(zip(part, split[0]))
+        rest = [w for w in fresh if w not in one]
+        several: dict[str, list[bytes] | None] = {}
+        for w, a, b in zip(rest, self.a.encode(rest), self.b.encode(rest)):
+            split = self._split(a, b, b" " + w.encode()) if w else None
+            if split and len(split[0]) == 1:
+                one[w] = split[0][0]
+            else:
+                several[w] = split and split[0]
+        return one, several
 
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of whole texts by both tokenizers as packed bytes, both empty where a text has no tokens.
+    def _texts_windows(self, texts: list[str]) -> list[list[bytes]]:
+        """Windows of whole texts; none where a text has no tokens.
 
         A stretch between two single blanks is encoded once and remembered where both vocabularies allow it: then no
-        token of either goes across such a blank, and the ids are those of the whole text.
+        token of either goes across such a blank, the ids are those of the whole text, and the blank is an anchor.
         """
-        if len(self.a_known) > CACHE_WORDS:
-            self.a_known.clear(), self.b_known.clear(), self.unequal.clear()
         cut = [self.CUT.split(t) if self.by_words else [t] for t in texts]
-        fresh = list({w for words in cut for w in words if w not in self.a_known})
-        for w, a, b in zip(fresh, self.a.encode(fresh), self.b.encode(fresh)):
-            if not self._equal(w, a, b):
-                self.unequal.add(w)
-            self.a_known[w], self.b_known[w] = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        found = [list(map(self.words.get, words)) for words in cut]
+        one, several = self._learned(list({w for words, known in zip(cut, found) if None in known
+                                           for w, k in zip(words, known) if k is None}))
         out = []
-        for text, words in zip(texts, cut):
-            if not text:
-                out.append((b"", b""))
-            elif self.unequal and not self.unequal.isdisjoint(words):
-                [a], [b] = self.a.encode([text]), self.b.encode([text])
-                same = self._equal(text, a, b)
-                out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else (b"", b""))
-            else:
-                out.append((b"".join(map(self.a_known.__getitem__, words)), b"".join(map(self.b_known.__getitem__, words))))
-        if not self.by_words:
-            self.a_known.clear(), self.b_known.clear()
+        for text, words, known in zip(texts, cut, found):
+            if None in known:
+                known = [one.get(w) if k is None else k for w, k in zip(words, known)]
+            if None in known:
+                parts = [several[w] if k is None else [k] for w, k in zip(words, known)]
+                if None in parts:  # a stretch alone does not come back: the whole text decides
+                    split = self._split(*self.a.encode([text]), *self.b.encode([text]), b" " + text.encode()) if text else None
+                    parts = [split[0] if split else []]
+                known = list(chain.from_iterable(parts))
+            out.append(known)
+        if self.by_words and len(self.words) < CACHE_WORDS:
+            self.words.update(one)
         return out
 
-    def __call__(self, texts: list[str]) -> list[tuple[int, int, list[tuple[str, bytes, int]]]]:
-        """For each text its numbers of tokens and the alignments of its windows."""
-        if len(self.windows) > CACHE_WINDOWS:
-            self.windows.clear()
-        ids = self.tokens(texts)
-        a_bytes, b_bytes = b"".join([x for x, _ in ids]), b"".join([x for _, x in ids])
-        a, b = np.frombuffer(a_bytes, "<u4"), np.frombuffer(b_bytes, "<u4")
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        a_at, b_at = np.flatnonzero(self.a_blank[a]), np.flatnonzero(self.b_blank[b])
-        a_start, b_start = (a_end - self.a_size[a])[a_at], (b_end - self.b_size[b])[b_at]
-        _, x, y = np.intersect1d(a_start, b_start, assume_unique=True, return_indices=True)
-        wa, wb = a_at[x], b_at[y]  # first tokens of the windows; a text begins with a blank, so with a window
-        counts = np.array([len(x) // 4 for x, _ in ids])
-        cuts = np.searchsorted(wa, np.concatenate(([0], np.cumsum(counts)))).tolist()
-        wa, wb = (4 * np.append(wa, len(a))).tolist(), (4 * np.append(wb, len(b))).tolist()
-        out = []
-        for n, (packed, other) in enumerate(ids):
-            lo, hi = cuts[n], cuts[n + 1]
-            found = []
-            for key in zip([a_bytes[s:e] for s, e in zip(wa[lo:hi], wa[lo + 1:hi + 1])],
-                           [b_bytes[s:e] for s, e in zip(wb[lo:hi], wb[lo + 1:hi + 1])]):
-                got = self.windows.get(key)
-                if got is None:
-                    left, right = (np.frombuffer(k, "<u4").tolist() for k in key)
-                    got = align_window(left, right, self.a_list, self.b_list)
-                    if len(left) + len(right) <= LONG_WINDOW:
-                        self.windows[key] = got
-                found.append(got)
-            out.append((len(packed) // 4, len(other) // 4, found))
+    def _align(self, fresh: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(fresh), "<u4")
+        mine = ids < OTHER
+        left, right = ids[mine], ids[~mine] ^ OTHER
+        stop = np.cumsum([len(k) // 4 for k in fresh]) - 1
+        to_a = np.cumsum(mine)[stop]
+        groups, links, counts = align_windows(left, right, self.a_size, self.b_size, np.cumsum(self.a_size[left])[to_a - 1], self.names)
+        self.groups += groups
+        self.links += links
+        n_a = np.diff(to_a, prepend=0)
+        self.numbers = np.concatenate((self.numbers, np.stack((n_a, np.diff(stop, prepend=-1) - n_a, counts), axis=1)))
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """For each text: tokens of both, groups, groups as text, links as packed pairs."""
+        of = self._texts_windows(texts)
+        keys = list(chain.from_iterable(of))
+        numbers = list(map(self.windows.get, keys))
+        fresh = list({k for k, n in zip(keys, numbers) if n is None}) if None in numbers else []
+        kept = len(self.groups)
+        if fresh:
+            self._align(fresh)
+            new = dict(zip(fresh, range(kept, kept + len(fresh))))
+            numbers = [new[k] if n is None else n for k, n in zip(keys, numbers)]
+        out, at = [], 0
+        for windows in of:
+            mine = numbers[at:at + len(windows)]
+            at += len(windows)
+            n_a, n_b, groups = self.numbers[mine].sum(axis=0).tolist() if mine else (0, 0, 0)
+            out.append((n_a, n_b, groups, ";".join([self.groups[n] for n in mine]),
+                        np.frombuffer(b"".join([self.links[n] for n in mine]), "<i8")))
+        if fresh and kept < CACHE_WINDOWS and max(map(len, fresh)) <= 4 * LONG_WINDOW:
+            self.windows.update(new)
+        elif fresh:
+            del self.groups[kept:], self.links[kept:]
+            self.numbers = self.numbers[:kept]
         return out
 
 
@@ -192,12 +239,11 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", t
             for i, j in text_runs(text_buffers(batch.column("text"))[1], TEXT_BYTES):
                 texts = [t or "" for t in batch.column("text").slice(i, j - i).to_pylist()]
                 rows, pairs, times = [], [], []
-                for n_a, n_b, found in worker.value["aligner"](texts):
-                    links = np.frombuffer(b"".join([w[1] for w in found]), "<i8")
+                for n_a, n_b, n_groups, groups, links in worker.value["aligner"](texts):
                     distinct, often = np.unique(links, return_counts=True)
                     pairs.append(distinct)
                     times.append(often)
-                    rows.append((n_a, n_b, sum([w[2] for w in found]), len(links), ";".join([w[0] for w in found])))
+                    rows.append((n_a, n_b, n_groups, len(links), groups))
                 at = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in pairs]))), pa.int32())
                 flat = np.concatenate(pairs)
                 lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32)))
