@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import text_buffers
+from .common import broadcast_counted, text_buffers
 from .components import components
 from .shingles import mix, shingle_sets
 from .tsearch import block_links
@@ -32,7 +32,7 @@ def forest_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     Two rows link when 100 * |A & B| >= percent * |A or B| of their sets of `k`-word shingles.
 
     1. Equal sets form a class, and one row of a class goes on, with TREES signatures of DEPTH minhash values.
-    2. Each tree sorts all classes by its signature, the orders range-partitioned over the cluster. Neighbours that
+    2. Classes that share the first DEPTHS[0] values of no tree with another are done. Each tree sorts the rest by its signature, the orders range-partitioned over the cluster. Neighbours that
        share the first DEPTHS[0] values and are not in one component yet are compared on their full sets, in blocks of
        successive neighbours. This runs in rounds of trees, so a group of near copies by the thousand is one component
        after the first, and only its strays and their neighbours go on.
@@ -56,17 +56,20 @@ def forest_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     classes = written(named.groupBy("class_id").agg(
         F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull(), "key", "text_hash")).alias("row"),
         F.first("n").alias("n"), F.first("forest").alias("forest")), "classes")
-    posts = classes.select("class_id", "n", "forest", F.col("class_id").alias("label"))
-    rows = classes.select("class_id", F.col("row.key").alias("w_key"), F.col("row.text_hash").alias("w_hash"))
-    links, first = None, 0
+    posts = written(_crowd(classes.select("class_id", "n", "forest", F.col("class_id").alias("label"))), "posts")
+    named = written(classes.join(posts.select("class_id"), "class_id", "left_semi").select(
+        "class_id", F.col("row.key").alias("w_key"), F.col("row.text_hash").alias("w_hash")), "rows")
+    texts = written(source.join(broadcast_counted(named, named.count()), (F.col("text_hash") == F.col("w_hash")) & F.col(
+        "key").eqNullSafe(F.col("w_key"))).select("class_id", "text"), "texts")
+    links, first, labelled = None, 0, posts
     for number in ROUNDS:
-        found = _compared(source, rows, _neighbours(posts, first, first + number), k, percent)
+        found = _compared(texts, _neighbours(labelled, first, first + number), k, percent)
         links = found if links is None else links.unionByName(found)
         first += number
-        roots = written(components(links), "roots")
-        posts = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left") \
-            .select("class_id", "n", "forest", F.coalesce("root", "class_id").alias("label"))
-    links = links.unionByName(_compared(source, rows, _visits(posts, percent), k, percent))
+        roots = written(components(links), "roots").withColumnRenamed("node", "class_id")
+        labelled = posts.drop("label").join(roots, "class_id", "left").withColumn("label", F.coalesce("root", "class_id")).drop("root")
+    posts = labelled
+    links = links.unionByName(_compared(texts, _visits(posts, percent), k, percent))
     ids = classes.select("class_id", "least").join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left") \
         .withColumn("root", F.coalesce("root", "class_id"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -84,6 +87,18 @@ def _trees(posts: DataFrame, first: int, last: int) -> DataFrame:
         "signature", F.substring("forest", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))).drop("forest")
 
 
+def _crowd(posts: DataFrame) -> DataFrame:
+    """The classes that share a region with another class."""
+    regions = _trees(posts, 0, TREES).select("class_id", _region(DEPTHS[0]))
+    shared = written(regions.groupBy("region").agg(F.count("*").alias("classes")).filter("classes > 1").select("region"), "shared")
+    some = regions.join(broadcast_counted(shared, shared.count()), "region", "left_semi").select("class_id").distinct()
+    return posts.join(some, "class_id", "left_semi")
+
+
+def _region(depth: int):
+    return F.xxhash64("tree", F.substring("signature", 1, 2 * depth)).alias("region")
+
+
 def _neighbours(posts: DataFrame, first: int, last: int) -> DataFrame:
     """Blocks to compare: class_id, label, block, visitor. In the sorted order of each tree, successive classes
     that share the first DEPTHS[0] values and have different labels stand in one block; a chain of them is cut by
@@ -127,7 +142,7 @@ def _visits(posts: DataFrame, percent: int) -> DataFrame:
     """Blocks to compare: class_id, label, block, visitor, for the regions that hold several components."""
     todo, taken = _trees(posts, 0, TREES), None
     for depth in DEPTHS:
-        regions = todo.withColumn("region", F.xxhash64("tree", F.substring("signature", 1, 2 * depth)))
+        regions = todo.select("*", _region(depth))
         held = regions.groupBy("region", "label").agg(F.count("*").alias("classes")).groupBy("region").agg(
             F.sum("classes").alias("classes"), F.max_by("label", F.struct("classes", "label")).alias("common"),
             F.max("classes").alias("most")).filter("classes > most")
@@ -147,11 +162,13 @@ def _visits(posts: DataFrame, percent: int) -> DataFrame:
     placed = written(homes.join(weights, "home").select("class_id", F.xxhash64("home", F.pmod(
         F.xxhash64("class_id"), F.col("parts"))).alias("block")), "placed")
     taken = taken.join(placed, "class_id")
-    living = taken.groupBy("region", "label", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    living = taken.groupBy("region", "block").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.max(F.col("label") == F.col("common")).alias("commonest"))
     strays = taken.filter("label <> common")
     # of two strays one visits the other; the commonest component is only visited
-    visits = strays.alias("s").join(living.withColumnRenamed("label", "there").alias("h"), F.expr(
-        f"s.region = h.region and s.label <> h.there and s.block <> h.block and (s.block > h.block or h.there = s.common) "
+    visits = strays.alias("s").join(living.alias("h"), F.expr(
+        f"s.region = h.region and s.block <> h.block and (s.block > h.block or h.commonest) and (h.lo <> s.label or h.hi <> s.label) "
         f"and 100 * s.n >= {percent} * h.low and 100 * h.high >= {percent} * s.n")) \
         .select("s.class_id", F.col("h.block").alias("block"), F.lit(True).alias("visitor")).distinct()
     # of the rest only blocks where something can be compared
@@ -161,12 +178,10 @@ def _visits(posts: DataFrame, percent: int) -> DataFrame:
     return goes.join(posts.select("class_id", "label"), "class_id").select("class_id", "label", "block", "visitor")
 
 
-def _compared(source: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between labels found in the blocks of `wanted`, on full shingle sets; `rows` names a row of each class."""
-    goes = wanted.groupBy("class_id", "label").agg(F.collect_set(F.struct("block", "visitor")).alias("goes"))
-    goes = written(goes.join(rows, "class_id"), "goes")
-    texts = source.join(goes, (F.col("text_hash") == F.col("w_hash")) & F.col("key").eqNullSafe(F.col("w_key"))) \
-        .select("class_id", "label", "goes", "text")
+def _compared(texts: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between labels found in the blocks of `wanted`, on full shingle sets."""
+    goes = written(wanted.groupBy("class_id", "label").agg(F.collect_set(F.struct("block", "visitor")).alias("goes")), "goes")
+    texts = texts.join(goes, "class_id").select("class_id", "label", "goes", "text")
     sets = texts.mapInArrow(_sets(k), "class_id long, label long, block long, visitor boolean, tokens binary")
     return written(sets.groupBy("block").applyInArrow(_block_search(percent), LINKS), "found")
 
