@@ -90,6 +90,37 @@ def test_similar_cases(spark):
         assert got[i] == want
 
 
+def test_similar_cases_with_hot_tokens_at_every_step(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(240):  # a token in all rows, one in a third, families at different similarities, repeated sets
+        own = [f"f{i % 12}_{x}" for x in range(rng.choice([4, 9, 14]))]
+        tokens = ["everywhere", *(["third"] if i % 3 == 0 else []), *own, *[f"r{rng.randint(0, 40)}" for _ in range(i % 7)]]
+        rows.append((i, tokens, "benign"))
+    d = spark.createDataFrame(rows, "row_id long, tokens array<string>, label string").cache()
+    cases = d.select(F.col("row_id").alias("case_id"), "label", "tokens")
+    got = {r.row_id: [(c.case_id, round(c.similarity, 9)) for c in r.cases] for r in S.similar_cases(d, cases).collect()}
+    sets = {i: set(t) for i, t, _ in rows}
+    for i, a in sets.items():
+        of_set = {}
+        for j in sorted(sets):  # of equal sets only the first three are listed
+            of_set.setdefault(frozenset(sets[j]), []).append(j)
+        scored = [(-len(a & b) / len(a | b), j) for b, js in of_set.items() for j in js[:3] if 2 * len(a & b) >= len(a | b)]
+        assert got[i] == [(j, round(-s, 9)) for s, j in sorted(scored)[:3]]
+
+
+def test_similar_cases_look_at_few_pairs(spark):
+    """Ten times the rows, where each has near copies, make far fewer than a hundred times the pairs."""
+    def pairs(n):
+        rng = random.Random(3)
+        sets = [[1, 2, 3, *[1000 * (i // 4) + x for x in range(4, 16)], 10**7 + rng.randint(0, 10**6)] for i in range(n)]
+        d = spark.createDataFrame([(i, t) for i, t in enumerate(sets)], "_set long, t array<long>") \
+            .select("_set", F.reverse("t").alias("t"))  # common tokens last
+        return S._alike(d, d.withColumnRenamed("_set", "_case"), S.STEPS[1]).count()
+
+    assert pairs(2000) < 12 * pairs(200)
+
+
 def test_global_rank_with_copies(spark):
     d = PR.ordered(url_frame(spark, urls()))
     rows = d.orderBy("order_key", "row_id").collect()
