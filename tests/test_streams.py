@@ -1,5 +1,7 @@
 """Streams give what the batch operators give."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -132,14 +134,46 @@ def events(spark, sf, tmp_path):
     return e, stream
 
 
-def test_admission_stream_equals_batch(spark, sf, tmp_path):
-    e, stream = events(spark, sf, tmp_path)
-    q = (rates.admission_stream(stream, limit=3, window_seconds=21600).writeStream.format("memory").queryName("admitted")
-         .outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+def admitted(spark, tmp_path, name, files, **options):
+    """(query, decisions) of a stream that reads one file after another."""
+    folder = tmp_path / name
+    for i, rows in enumerate(files):
+        d = spark.createDataFrame(rows, "client string, at long").select("client", F.timestamp_micros("at").alias("ts"))
+        d.coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("client string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = (rates.admission_stream(stream, **options).writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", str(tmp_path / f"{name}-check")).trigger(availableNow=True).start())
     q.awaitTermination()
-    batch = R.admission(e, limit=3, window_seconds=21600).withColumn("t", F.unix_micros("ts"))
-    cols = ["client", "t", "accepted", "rejected", "retry_after"]
-    assert table(spark.table("admitted").select(*cols)) == table(batch.select(*cols))
+    return q, spark.table(name)
+
+
+SECOND = 1_000_000
+COLUMNS = ["client", "t", "requests", "accepted", "rejected", "retry_after"]
+
+
+def test_admission_stream_equals_batch(spark, tmp_path):
+    """Equal times in different files, times out of order within the watermark, idle and busy clients."""
+    rng = random.Random(4)
+    rows = [(c, (1000 + i // 2) * SECOND + rng.choice([0, 1, 500_000])) for i in range(200) for c in ("a", "b")] + [("idle", 1005 * SECOND)]
+    rows.sort(key=lambda r: r[1] + rng.randint(0, 8 * SECOND))
+    files = [rows[i:i + 60] for i in range(0, len(rows), 60)]
+    end = [("end", 10_000 * SECOND)]
+    q, decided = admitted(spark, tmp_path, "admitted", [*files, end, [("end", 10_001 * SECOND)]], limit=4, window_seconds=10, watermark="30 seconds")
+    e = spark.createDataFrame(rows, "client string, at long").select("client", F.timestamp_micros("at").alias("ts"))
+    batch = R.admission(e, limit=4, window_seconds=10).withColumn("t", F.unix_micros("ts"))
+    assert table(decided.filter("client <> 'end'").select(*COLUMNS)) == table(batch.select(*COLUMNS))
+    assert decided.filter("late").count() == 0
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]  # what the last client still holds, timer included
+    assert left <= 8
+
+
+def test_late_requests_are_told_apart(spark, tmp_path):
+    files = [[("a", 100 * SECOND)], [("a", 200 * SECOND)], [("a", 120 * SECOND), ("a", 195 * SECOND)], [("b", 1000 * SECOND)],
+             [("b", 1001 * SECOND)]]
+    _, decided = admitted(spark, tmp_path, "late", files, limit=1, window_seconds=10, watermark="20 seconds")
+    assert [(r.client, r.t, r.requests) for r in decided.filter("late").collect()] == [("a", 120 * SECOND, 1)]
+    assert [tuple(r) for r in decided.filter("client = 'a' and not late").select("t", "accepted").orderBy("t").collect()] == [
+        (100 * SECOND, 1), (195 * SECOND, 1), (200 * SECOND, 0)]
 
 
 def test_windowed_rate(spark, sf, tmp_path):
