@@ -123,9 +123,8 @@ def page_js_score(spark, sf):
     GROUP BY scheme, host""", "html_pages"))
 def page_link_targets(spark, sf):
     d = P.markup(views.html_pages(spark, sf))
-    hrefs = F.transform(F.filter("_items", lambda x: P._is_tag(x, "a")), lambda x: P.attribute(x, "href"))
-    targets = F.transform(F.filter(hrefs, lambda h: h.isNotNull() & (h != "")),
-                          lambda h: P.link_target(h, F.col("_b_scheme"), F.col("_b_host")))
+    links = F.filter("_tags", lambda t: (t["name"] == "a") & t["ref"].isNotNull() & (t["ref"] != ""))
+    targets = F.transform(links, lambda t: t["target"])
     d = P.exploded(d, targets, "t", "page_id").select("page_id", "t.scheme", "t.host")
     d = d.groupBy("scheme", "host", "page_id").agg(F.count("*").alias("links"))
     return d.groupBy("scheme", "host").agg(F.sum("links").alias("links"), F.count("*").alias("pages"))
