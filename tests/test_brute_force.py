@@ -1,7 +1,8 @@
 """Operators with their own algorithms against plain Python, with hot keys."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from conftest import url_frame
 from pyspark.sql import functions as F
@@ -135,6 +136,45 @@ def test_dictionary_counts_never_drop_with_more_rows(spark):
     assert both.filter("total_df IS NULL OR total_df < few").count() == 0
 
 
+def test_a_thousand_dictionary_versions(spark):
+    rng = random.Random(9)
+    labels = K.CLASSES
+    rows = []
+    for i in range(3300):  # 300 rows of warm-up, then batches of one row, so a version every three rows
+        label = rng.choice(labels)
+        tokens = [f"t{int(rng.expovariate(0.08))}" for _ in range(6)] + [f"{label}{rng.randint(0, 15)}"]
+        rows.append((i, label, tokens, max(0, i - 299), 3000))
+    d = spark.createDataFrame(rows, "row_id long, type string, tokens array<string>, batch_idx long, n_batches long")
+    top_common, top_class, min_df = 12, 7, 3
+    got = {}
+    for r in PR.dictionary_versions(d, top_common, top_class, min_df).collect():
+        got.setdefault((r.version, r.scope), []).append((r.rank, r.token, round(r.score, 9)))
+    assert {v for v, _ in got} == set(range(1001))
+
+    def odds(a, n, b, m):
+        return math.log((a + K.SMOOTHING) / (n + 2 * K.SMOOTHING) / ((b + K.SMOOTHING) / (m + 2 * K.SMOOTHING)))
+
+    for v in (0, 1, 2, 7, 500, 999, 1000):
+        taught = [(t, set(x)) for _, t, x, b, _ in rows if b == 0 or 3 * v - 5 <= b <= 3 * v]
+        n = Counter(t for t, _ in taught)
+        df = Counter((x, t) for t, xs in taught for x in xs)
+        total = Counter(x for _, xs in taught for x in xs)
+        bad = [c for c in labels if c != K.BENIGN]
+        for scope in [L.COMMON, *bad]:
+            scored = []
+            for x in (x for x, c in total.items() if c >= min_df):
+                if scope == L.COMMON:
+                    if sum(df[x, c] > 0 for c in bad) < K.MIN_MALICIOUS_CLASSES:
+                        continue
+                    s = odds(sum(df[x, c] for c in bad), len(taught) - n[K.BENIGN], df[x, K.BENIGN], n[K.BENIGN])
+                else:
+                    s = odds(df[x, scope], n[scope], total[x] - df[x, scope], len(taught) - n[scope])
+                if s > 0:
+                    scored.append((-round(s, 9), x))
+            want = [(i + 1, x, -s) for i, (s, x) in enumerate(sorted(scored)[:top_common if scope == L.COMMON else top_class])]
+            assert sorted(got.get((v, scope), [])) == want
+
+
 def test_top_k_is_the_same_beyond_the_group_limit(spark):
     d = spark.range(3000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("v"), "id")
     order = [F.desc("v"), F.asc("id")]

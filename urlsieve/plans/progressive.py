@@ -15,6 +15,7 @@ from .. import constants as K
 from ..operators import features as FE
 from ..operators import lexicon as L
 from ..operators.model import shuffle_key
+from ..session import written
 
 BUCKET_DIGITS = 4  # 16 ** 4 buckets of a uniform hexadecimal key
 
@@ -69,22 +70,49 @@ def dictionary_versions(d: DataFrame, top_common: int, top_class: int, min_df: i
                         classes: list[str] = K.CLASSES, negative: str = K.BENIGN) -> DataFrame:
     """(version, scope, token, score, rank) of all versions, from rows with tokens, type, batch_idx, n_batches.
 
-    Tokens are counted per batch first; only those counts are repeated for the versions that use them.
+    Tokens are counted per batch first. A later batch teaches few versions, so its counts are repeated for those. The
+    warm-up teaches all, and its counts are joined once, to the tokens that a version's window holds. The tokens that
+    it does not hold have the counts of the warm-up; those with equal counts have one score, so they go through the
+    versions as one row, and only what the cut keeps is spelled out. Rows grow with the rows read, not with versions
+    times vocabulary.
     """
-    last = F.floor(F.col("n_batches") / K.UPDATE_INTERVAL)
-    rows = d.withColumn("last_version", last)
-    per_batch = L.token_df(rows, classes, by=["batch_idx", "last_version"])
+    names = ["n"] + ["n_" + c for c in classes]
+    rows = d.withColumn("last_version", F.floor(F.col("n_batches") / K.UPDATE_INTERVAL))
+    per_batch = written(L.token_df(rows, classes, by=["batch_idx", "last_version"]), "counts")
     keys = [c for c in per_batch.columns if c == "total_df" or c.startswith("df_")]
-    spread = L.exploded(per_batch, versions_of(F.col("batch_idx"), F.col("last_version")), "version", "token", *keys)
-    counts = spread.groupBy("version", "token").agg(*[F.sum(c).alias(c) for c in keys])
     docs = rows.groupBy("batch_idx", "last_version").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("type") == c).alias("n_" + c) for c in classes])
-    names = ["n"] + ["n_" + c for c in classes]
-    totals = L.exploded(docs, versions_of(F.col("batch_idx"), F.col("last_version")), "version", *names)
+    totals = L.exploded(docs, versions_of(F.col("batch_idx"), F.col("last_version")), "version", *names)  # a row a version
     totals = totals.groupBy("version").agg(F.struct(*[F.sum(c).alias(c) for c in names]).alias("t"))
-    joined = counts.join(totals, "version")
-    scored = L.log_odds(joined, F.col("t"), classes, negative, min_df).drop("t")
-    return L.cut(scored, top_common, top_class, by=["version"]).select("version", "scope", "token", "score", "rank")
+
+    warm = per_batch.filter("batch_idx = 0").withColumn("kind", F.concat_ws(",", *keys))
+    later = L.exploded(per_batch.filter("batch_idx > 0"), versions_of(F.col("batch_idx"), F.col("last_version")), "version", "token", *keys)
+    window = later.groupBy("version", "token").agg(*[F.sum(c).alias(c) for c in keys])
+    known = warm.select("token", "kind", *[F.col(c).alias("_" + c) for c in keys])
+    touched = written(window.join(known, "token", "left").select(
+        "version", "token", "kind", *[(F.col(c) + F.coalesce("_" + c, F.lit(0))).alias(c) for c in keys]), "touched")
+
+    hits = touched.filter("kind is not null").groupBy("version", "kind").agg(F.count("*").alias("hits"))
+    kinds = warm.filter(F.col("total_df") >= min_df).groupBy("kind", "last_version", *keys).agg(F.count("*").alias("size"))
+    untouched = L.exploded(kinds, F.sequence(F.lit(0).cast("long"), "last_version"), "version", "kind", "size", *keys)
+    untouched = untouched.join(hits, ["version", "kind"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))) \
+        .withColumn("tokens", F.col("size") - F.col("hits")).filter("tokens > 0").drop("size")
+    score = lambda counts: L.log_odds(counts.join(totals, "version"), F.col("t"), classes, negative, min_df).drop("t")
+    exact = score(touched.drop("kind")).withColumn("tokens", F.lit(1).cast("long"))
+    scored = exact.unionByName(score(untouched), allowMissingColumns=True).withColumn("place", F.round("score", L.RANK_PLACES))
+    scored = written(scored, "scored")
+    most = max(top_common, top_class)
+    before = W.partitionBy("version", "scope").orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, -1)
+    places = scored.groupBy("version", "scope", "place").agg(F.sum("tokens").alias("tokens")) \
+        .withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).filter(F.col("before") < most).drop("tokens")
+    kept = scored.join(places, ["version", "scope", "place"]).withColumn("wanted", most - F.col("before") + F.coalesce("hits", F.lit(0)))
+    deepest = most + (hits.agg(F.max("hits")).first()[0] or 0)
+    spelled = L.top_k(warm.select("kind", "token"), ["kind"], [F.asc("token")], deepest)
+    opened = kept.filter("kind is not null").drop("token").join(spelled, "kind").filter(F.col("rank") <= F.col("wanted"))
+    opened = opened.join(touched.select("version", "token"), ["version", "token"], "left_anti")
+    columns = ["version", "scope", "token", "score"]
+    final = kept.filter("kind is null").select(columns).unionByName(opened.select(columns))
+    return L.cut(final, top_common, top_class, by=["version"]).select("version", "scope", "token", "score", "rank")
 
 
 def lexicon_argmax(d: DataFrame) -> DataFrame:
