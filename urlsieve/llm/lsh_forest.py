@@ -18,7 +18,7 @@ from .tsearch import block_links
 
 TREES = 20
 DEPTH = 12  # minhash values of a tree; two bytes each in its order
-ROUNDS = (1, 4, 15)  # trees of each round of neighbours
+ROUNDS = (2, 18)  # trees of each round of neighbours
 DEPTHS = (4, 6, 8, 12)  # how much of an order a region shares; a crowded region is taken apart by the next
 CROWDED = 64  # classes of a region outside its commonest component
 BLOCK_SHINGLES = 500_000  # aim for the shingles that are compared in one block
