@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -175,3 +176,12 @@ def test_query_covers_every_document(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     d = Q.op3_bit_planes(spark, sf)
     assert d.agg(F.count("*"), F.count_distinct("doc_id")).first()[:] == (n, n)
+
+
+def test_many_base_spans_take_linear_time():
+    rng = random.Random(2)
+    text = " ".join("token " + "".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(60_000))
+    start = time.process_time()
+    base = X.base_spans(text, text.lower())
+    assert len(base) == 60_000 and X.novel_spans(text, text.lower(), base) == []
+    assert time.process_time() - start < 30

@@ -54,7 +54,8 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans near a sensitive word, outside the base spans, whose marginal compressed size is near their length.
 
-    Candidates are whole runs; the distance to a word counts from their nearer end.
+    Candidates are whole runs that hold a digit and a letter; the distance to a word counts from their nearer end.
+    `base` is sorted, so candidates, zones and base spans are walked together.
     Of a candidate's size, that of the empty text is taken off, both compressed with a dictionary of identifiers
     and of the characters around the candidate. A candidate is one stream with a block for each PIECE, so that what
     it repeats of itself is found, but the few kinds of its characters do not count as a pattern.
@@ -66,6 +67,7 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
         return []
     found = []
     zone, reach = 0, -1  # the zones that begin up to a candidate's end reach this far
+    fixed, taken = 0, -1  # the base spans that begin before a candidate's end reach this far
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         while zone < len(zones) and zones[zone][0] <= e:
@@ -73,9 +75,11 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[t
             zone += 1
         if reach < s:
             continue
+        while fixed < len(base) and base[fixed][0] < e:
+            taken = max(taken, base[fixed][2])
+            fixed += 1
         value = text[s:e]
-        if any(s < b and a < e for a, _, b in base) or not (
-                any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        if taken > s or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
         around = (IDENTIFIERS + text[max(0, s - AROUND):s] + text[e:e + AROUND]).encode()
         zip_ = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False,
