@@ -65,8 +65,9 @@ def test_validation_splits_rows(spark):
 def test_bundle_round_trip(spark, sf, tmp_path):
     path = str(tmp_path / "bundle")
     urls = views.urls(spark, sf)
-    train = M.base_training(with_tokens(urls))
-    models = {"base": M.base_pipeline(2).fit(train),
+    rows = with_tokens(urls)
+    train = M.base_training(rows, L.risk_dictionary(rows))
+    models = {"base": M.base_pipeline(FE.tfidf_vocabulary(rows), FE.scaler(train), 2).fit(train),
               "specialist": M.specialist_pipeline(2).fit(M.with_grams(M.specialist_sample(urls)))}
     tables = {"dictionary": L.risk_dictionary(with_tokens(urls)), "char_vocab": FE.char_vocabulary(urls),
               "lexicon": L.lexicon_rows(spark, K.STATIC_LEXICON)}
@@ -76,5 +77,7 @@ def test_bundle_round_trip(spark, sf, tmp_path):
     same = M.specialist_scores(models["specialist"], urls).join(
         M.specialist_scores(loaded["specialist"], urls).select("row_id", F.col("t_prob").alias("again")), "row_id")
     assert same.filter("abs(t_prob - again) > 1e-12").count() == 0
+    both = M.scored(models["base"], train).join(M.scored(loaded["base"], train).select("row_id", F.col("p_benign").alias("again")), "row_id")
+    assert both.filter("abs(p_benign - again) > 1e-12").count() == 0
     with pytest.raises(FileNotFoundError, match="models/base"):
         B.load_bundle(spark, str(tmp_path / "none"))

@@ -79,6 +79,51 @@ def test_progressive_linear_model_learns(spark, sf, tmp_path):
     assert len(accuracy) == 2 and all(0 <= a <= 1 for a in accuracy)
 
 
+def test_new_dictionary_refits_on_its_window(spark, sf, tmp_path):
+    """After batch 3 the weights come from the batch and then from batches 1 to 3 under version 1; a replay gives the same."""
+    rows, _, _ = batches(spark, sf, tmp_path)
+    run = Progressive(str(tmp_path / "state"), TOP, TOP, MIN_DF, linear_model=True)
+    run.warm_up(rows.filter("batch_idx = 0").select("row_id", "url", "type"))
+    of = lambda b: rows.filter(F.col("batch_idx") == b).select("row_id", "url", "type")
+    for b in (1, 2, 3):
+        run.step(of(b), b - 1)
+    final = run._weights(spark, 3).persist()
+    window = with_tokens(rows.filter("batch_idx between 1 and 3").select("row_id", "url", "type"))
+    first = run._trained(with_tokens(of(3)), run._weights(spark, 2), 0)
+    assert table(run._trained(window, first, 1)) == table(final)
+    assert table(first) != table(final)
+    before = table(final)
+    run.step(of(3), 2)
+    assert table(run._weights(spark, 3)) == before
+    run.run_summary(spark)
+    got = spark.read.json(run._table("summary")).first()
+    assert (got.batches, got.progressive_stream_size) == (3, window.count()) and 0 <= got.cumulative_accuracy <= 1
+    assert got.warmup_size == rows.filter("batch_idx = 0").count()
+
+
+def test_base_model_reads_the_assembled_features(spark, sf):
+    """Margins from the long feature table and the model's weights give the model's probabilities."""
+    rows = with_tokens(views.urls(spark, sf)).persist()
+    from urlsieve.operators import lexicon as L
+    dictionary = L.risk_dictionary(rows, (TOP, TOP, MIN_DF)).persist()
+    vocabulary, train = FE.tfidf_vocabulary(rows), M.base_training(rows, dictionary).persist()
+    fitted = FE.scaler(train)
+    model = M.base_pipeline(vocabulary, fitted, 5).fit(train)
+    weights = M.base_weights(spark, model)
+    names = {r.feature for r in weights.select("feature").distinct().collect()}
+    assert names == {f"tfidf:{r.token}" for r in vocabulary.collect()} | {f"dense:{c}" for c in FE.DENSE} | {"(intercept)"}
+    long = FE.feature_table(FE.tfidf(rows, vocabulary), FE.scaled(FE.dense_features(rows, dictionary), fitted))
+    long = long.unionByName(rows.select("row_id", F.lit("(intercept)").alias("feature"), F.lit(1.0).alias("value")))
+    margins = long.join(weights, "feature").groupBy("row_id").pivot("class_id", [0, 1, 2, 3]).agg(F.sum(F.col("value") * F.col("weight")))
+    index = {r.label_id: r.label for r in FE.label_index(rows).collect()}
+    got = {r.row_id: [r["p_" + index[k]] for k in sorted(index)] for r in M.scored(model, train).collect()}
+    want = {r.row_id: np.array([r[str(k)] for k in sorted(index)]) for r in margins.collect()}
+    assert set(got) == set(want) and len(got) == rows.count()
+    for key, m in want.items():
+        e = np.exp(m - m.max())
+        assert np.allclose(got[key], e / e.sum(), atol=1e-9)
+
+
 def test_gradient_steps_lower_the_loss(spark, sf):
     rows = with_tokens(views.urls(spark, sf)).persist()
     vocab = FE.tfidf_vocabulary(rows)

@@ -84,3 +84,16 @@ def test_clean_is_idempotent_without_percent(spark):
     urls = [u for u in generated() if "%" not in u]
     c = U.clean_url(F.col("url"))
     assert url_frame(spark, urls).filter(c != U.clean_url(c)).count() == 0
+
+
+def test_char_ids_over_all_planes(spark):
+    """Ids of characters of one to four bytes, unknown ones, cut and padded; an empty vocabulary knows none."""
+    from urlsieve.operators import features as FE
+
+    urls = ["http://a.example/é漢😀b", "zz😁", "", "x" * 300]
+    d = spark.createDataFrame(list(enumerate(urls)), "row_id long, url string")
+    vocab = FE.char_vocabulary(d.filter("row_id <> 1"))
+    ids = {r.ch: r.id for r in vocab.collect()}
+    for r in FE.char_ids(d, vocab).collect():
+        assert r.ids == ([2] + [ids.get(c, 1) for c in r.url] + [0] * 256)[:256]
+    assert [r.ids[:4] for r in FE.char_ids(d.filter("row_id = 1"), vocab.limit(0)).collect()] == [[2, 1, 1, 1]]

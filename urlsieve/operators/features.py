@@ -25,18 +25,28 @@ def char_vocabulary(urls: DataFrame, url: str = "url") -> DataFrame:
     return counts.select("ch", "n", (rank + K.CHAR_CLS).cast("long").alias("id"))
 
 
+def char_table(vocab: DataFrame) -> DataFrame:
+    """One row `pages`: ids by code point. Page p holds those of code points 256 p to 256 p + 255 and is null where none is
+    known, so that an id is two array accesses away."""
+    code = F.ascii("ch")
+    cells = vocab.select(F.shiftright(code, 8).alias("page"), code.bitwiseAND(255).alias("cell"), "id")
+    entries = lambda value: F.map_from_entries(F.collect_list(F.struct(*value)))
+    filled = lambda last: F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at("m", i))
+    pages = cells.groupBy("page").agg(entries(["cell", "id"]).alias("m")).select("page", filled(F.lit(255)).alias("ids"))
+    whole = pages.agg(entries(["page", "ids"]).alias("m"), F.coalesce(F.max("page"), F.lit(0)).alias("last"))
+    return whole.select(filled(F.col("last")).alias("pages"))
+
+
 def char_ids(urls: DataFrame, vocab: DataFrame, url: str = "url", length: int = K.CHAR_LENGTH) -> DataFrame:
     """Fixed-length id array per URL: CLS, ids (UNK for unknown), then PAD; longer URLs are cut to `length`."""
-    rows = urls.withColumn("_clean", clean_url(F.col(url)))
-    # Frequent characters come first, so that most lookups end early.
-    ordered = F.array_sort(F.collect_list(F.struct("id", "ch")))
-    pairs = vocab.agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["ch"], x["id"]))).alias("m"))
-    ids = F.transform(F.split("_clean", ""), lambda ch: F.coalesce(F.try_element_at("_vocab", ch), F.lit(K.CHAR_UNK)))
+    rows = urls.withColumns({"_clean": clean_url(F.col(url)), "_pages": char_table(vocab).scalar()})
+    codes = F.transform(F.split("_clean", "", length), lambda ch: F.ascii(ch))
+    ids = F.transform(codes, lambda c: F.coalesce(F.get(F.get("_pages", F.shiftright(c, 8)), c.bitwiseAND(255)),
+                                                  F.lit(K.CHAR_UNK)))
     ids = F.when(F.col("_clean") == "", F.array().cast("array<bigint>")).otherwise(ids)
     padded = F.concat(F.array(F.lit(K.CHAR_CLS).cast("long")), ids,
                       F.array_repeat(F.lit(K.CHAR_PAD).cast("long"), length))
-    return (rows.withColumn("_vocab", pairs.scalar())
-            .withColumn("ids", F.slice(padded, 1, length)).drop("_vocab", "_clean"))
+    return rows.withColumn("ids", F.slice(padded, 1, length)).drop("_clean", "_pages")
 
 
 LEXICAL = [

@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import (
+    CountVectorizer,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    SQLTransformer,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,26 +151,52 @@ def gradient_step(features: DataFrame, weights: DataFrame, labels: DataFrame, ra
 # --- fitted models -------------------------------------------------------------------------------
 
 
-def base_pipeline(max_iter: int = 10) -> Pipeline:
-    """Four-class linear model over token counts and lexical features, class-weighted.
+def base_pipeline(vocabulary: DataFrame, fitted: DataFrame, max_iter: int = 10) -> Pipeline:
+    """Four-class linear model over TF-IDF, dictionary and lexical features, class-weighted.
 
-    CountVectorizer keeps at most TFIDF_MAX_FEATURES terms, which bounds what the driver holds.
+    `vocabulary` is that of features.tfidf_vocabulary (TFIDF_MAX_FEATURES rows at most, which bounds what the driver
+    holds), `fitted` the one row of features.scaler. Both are frozen into the pipeline, so its first stages give the
+    values of features.tfidf and features.scaled, as one sparse vector per row and without a shuffle.
     """
+    terms = vocabulary.orderBy(F.desc("tf"), "token").select("token", "idf").collect()
+    fit = fitted.first()
+    scaled = ", ".join(f"({c} - ({fit['mean_' + c]!r}D)) / {fit['sd_' + c] or 1.0!r}D AS scaled_{c}" for c in FE.DENSE)
+    parts = [f"scaled_{c}" for c in FE.DENSE]
+    stages = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")]
+    if terms:  # a table of few rows may have no term within the document-frequency band
+        parts.insert(0, "tfidf")
+        stages += [
+            CountVectorizerModel.from_vocabulary([t.token for t in terms], inputCol="tokens", outputCol="tf"),
+            ElementwiseProduct(scalingVec=Vectors.dense([t.idf for t in terms]), inputCol="tf", outputCol="tf_idf"),
+            Normalizer(p=2.0, inputCol="tf_idf", outputCol="tfidf"),
+        ]
     return Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=K.TFIDF_MAX_FEATURES, minDF=K.TFIDF_MIN_DF,
-                        maxDF=K.TFIDF_MAX_DF),
-        VectorAssembler(inputCols=["tf", *FE.LEXICAL], outputCol="features"),
+        *stages, VectorAssembler(inputCols=parts, outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_id", weightCol="weight", family="multinomial",
                            regParam=K.L2_PENALTY, maxIter=max_iter),
     ])
 
 
-def base_training(df: DataFrame) -> DataFrame:
-    """Rows ready for base_pipeline: tokens, lexical features, label_id and balanced weight."""
+def base_rows(df: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Rows with tokens and the dense features under a dictionary: what a fitted base model reads."""
+    return df.join(FE.dense_features(df, dictionary), "row_id")
+
+
+def base_training(df: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Rows ready for base_pipeline: tokens, dense features, label_id and balanced weight."""
     index = FE.label_index(df)
     weights = FE.class_weights(df).select("type", "weight")
-    d = FE.encode_labels(FE.lexical_features(df), index)
-    return d.join(weights, "type")
+    return FE.encode_labels(base_rows(df, dictionary), index).join(weights, "type")
+
+
+def base_weights(spark, model) -> DataFrame:
+    """(feature, class_id, weight) of a fitted base model, named as in features.feature_table, with a row "(intercept)"."""
+    terms = [f"tfidf:{t}" for s in model.stages if isinstance(s, CountVectorizerModel) for t in s.vocabulary]
+    names = [*terms, *[f"dense:{c}" for c in FE.DENSE]]
+    regression = model.stages[-1]
+    rows = [(n, k, float(w)) for k, line in enumerate(regression.coefficientMatrix.toArray()) for n, w in zip(names, line)]
+    rows += [("(intercept)", k, float(w)) for k, w in enumerate(regression.interceptVector.toArray())]
+    return spark.createDataFrame(rows, "feature string, class_id int, weight double")
 
 
 def scored(model, df: DataFrame, classes: list[str] = K.CLASSES) -> DataFrame:

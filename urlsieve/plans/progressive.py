@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import features as FE
 from ..operators import lexicon as L
+from ..operators import metrics as MT
 from ..operators.model import shuffle_key
 from ..session import written
 
@@ -129,3 +130,21 @@ def scored_stream(d: DataFrame, versions: DataFrame) -> DataFrame:
     stream = d.filter("batch_idx > 0").withColumn("version", version_in_force(F.col("batch_idx")))
     hits = FE.risk_features(stream, versions, by=["version"])
     return lexicon_argmax(stream.select("row_id", "type", "batch_idx", "version").join(hits, "row_id"))
+
+
+def run_summary(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row over a whole run: its sizes and settings, the metrics over all batches, and how often benign and phishing
+    were taken for each other. `cells` is (type, prediction, n), of any number of batches, `sizes` is (batch_idx, n) with
+    the warm-up as batch 0."""
+    batch, n = F.col("batch_idx"), F.col("n")
+    of = sizes.agg(F.coalesce(F.sum(F.when(batch == 0, n)), F.lit(0)).alias("warmup_size"),
+                   F.coalesce(F.sum(F.when(batch > 0, n)), F.lit(0)).alias("progressive_stream_size"),
+                   F.count_if(batch > 0).alias("batches"))
+    swapped = lambda a, b: F.coalesce(F.sum(F.when((F.col("type") == a) & (F.col("prediction") == b), n)), F.lit(0))
+    wrong = cells.agg(swapped(K.BENIGN, K.PHISHING).alias("benign_to_phishing"), swapped(K.PHISHING, K.BENIGN).alias("phishing_to_benign"))
+    metrics = ["accuracy", "macro_f1", "weighted_f1", "phishing_precision", "phishing_recall", "phishing_f1"]
+    d = MT.summary(MT.per_class(cells)).withColumns({"_of": of.select(F.struct(*of.columns)).scalar(),
+                                                     "_wrong": wrong.select(F.struct(*wrong.columns)).scalar()})
+    return d.select("_of.*", F.lit(K.WARMUP_PER_MILLE / 1000).alias("warmup_ratio"), F.lit(K.UPDATE_INTERVAL).alias("update_interval"),
+                    F.lit(K.WINDOW_BATCHES).alias("sliding_window_batches"),
+                    *[F.col(m).alias("cumulative_" + m) for m in metrics], "_wrong.*")

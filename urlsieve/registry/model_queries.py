@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import features as FE
 from ..operators import model as M
+from ..session import staged
 from . import register, views
+from .evidence_queries import dictionary
 from .feature_queries import _raw, tokens
 from .sqltext import add, query
 
@@ -161,8 +163,9 @@ def specialist_sample(spark, sf):
 
 @register("model_scores")
 def model_scores(spark, sf):
-    train = M.base_training(tokens(spark, sf))
-    d = M.scored(M.base_pipeline().fit(train), train)
+    t = tokens(spark, sf)
+    train = staged(M.base_training(t, dictionary(spark, sf)))
+    d = M.scored(M.base_pipeline(FE.tfidf_vocabulary(t), FE.scaler(train)).fit(train), train)
     return M.argmax_class(d, "prediction").select(
         "row_id", "type", "prediction", *[F.round("p_" + c, 6).alias("p_" + c) for c in K.CLASSES])
 

@@ -9,6 +9,8 @@ from ..functions.tokens import with_tokens
 from ..operators import lexicon as L
 from ..operators import metrics as MT
 from ..plans import progressive as PR
+from ..session import new_folder
+from ..sources import readers as IO
 from . import register, views
 from .lexicon_queries import cut_sql, scored_sql
 from .sqltext import add, query
@@ -63,7 +65,11 @@ def prog_batches(spark, sf):
 @register("dict_versions", query(
     "SELECT version, scope, token, round(score, 6) AS score, rank::INTEGER AS rank FROM dver", "dver"))
 def dict_versions(spark, sf):
-    return versions(spark, sf).withColumn("score", F.round("score", 6))
+    """The versions as a user finds them: stored a folder a version, then read."""
+    path = new_folder(spark, "versions")
+    IO.write_dictionary(versions(spark, sf), path)
+    return IO.read_dictionary(spark, path).select(
+        F.col("version").cast("long").alias("version"), "scope", "token", F.round("score", 6).alias("score"), "rank")
 
 
 @register("dict_asof", query(
@@ -135,6 +141,7 @@ def _summary_sql(cls, by):
     return f"SELECT {keys}{', '.join(agg)} FROM ({cls}){group}"
 
 
+_SUMMED = ["accuracy", "macro_f1", "weighted_f1", "phishing_precision", "phishing_recall", "phishing_f1"]
 METRICS = ["accuracy"] + [f"{a}_{m}" for m in ("precision", "recall", "f1") for a in ("macro", "weighted", "phishing")]
 _round = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
 
@@ -190,3 +197,19 @@ _rep = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1,
 def eval_report(spark, sf):
     d = MT.report(MT.per_class(MT.cells(predictions(spark, sf))))
     return d.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("run_summary", query(
+    f"""SELECT warmup_size::BIGINT AS warmup_size, (n_rows - warmup_size)::BIGINT AS progressive_stream_size,
+       n_batches::BIGINT AS batches, 2e-1 AS warmup_ratio, 3::BIGINT AS update_interval, 6::BIGINT AS sliding_window_batches,
+       {', '.join(f'round({m}, 6) AS cumulative_{m}' for m in _SUMMED)},
+       (SELECT sum(n) FROM acell WHERE type = 'benign' AND prediction = 'phishing')::BIGINT AS benign_to_phishing,
+       (SELECT sum(n) FROM acell WHERE type = 'phishing' AND prediction = 'benign')::BIGINT AS phishing_to_benign
+       FROM (SELECT DISTINCT warmup_size, n_rows, n_batches FROM bat), ({_summary_sql(_CLS, [])})""", "acell", "bat"))
+def run_summary(spark, sf):
+    """Summary of the run, written as JSON and read back."""
+    path = new_folder(spark, "summary")
+    sizes = stream_rows(spark, sf).groupBy("batch_idx").agg(F.count("*").alias("n"))
+    IO.write_summary(PR.run_summary(MT.cells(predictions(spark, sf)), sizes), path)
+    d = spark.read.json(path)
+    return d.withColumns({f"cumulative_{m}": F.round(f"cumulative_{m}", 6) for m in _SUMMED})

@@ -61,6 +61,11 @@ def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet") -
      .option("header", True).partitionBy("batch_id").format(fmt).save(path))
 
 
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The one row of a run's summary as one JSON object."""
+    summary.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def request_urls(df: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:
     """(keep, pos, url): URLs of JSON requests with `urls` (list or one string) or `url`; blanks are skipped."""
     raw = F.from_json(payload, "urls string, url string")

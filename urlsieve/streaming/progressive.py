@@ -20,7 +20,7 @@ from ..operators import metrics as MT
 from ..operators import model as M
 from ..plans import progressive as PR
 from ..session import staged
-from ..sources.readers import read_dictionary, write_batch, write_dictionary
+from ..sources.readers import read_dictionary, write_batch, write_dictionary, write_summary
 
 
 @dataclass
@@ -70,7 +70,7 @@ class Progressive:
             FE.scaler(dense).write.mode("overwrite").parquet(self._table("scaler"))
             zero = spark.createDataFrame([("dense:length", c, 0.0) for c in K.CLASSES],
                                          "feature string, class string, weight double")
-            self._train(rows, zero, 0, 0)
+            write_batch(self._trained(rows, zero, 0), self._table("weights"), 0)
 
     # --- linear model state: weights version b is in force after batch b ---
 
@@ -83,14 +83,25 @@ class Progressive:
     def _weights(self, spark: SparkSession, batch: int) -> DataFrame:
         return spark.read.parquet(self._table("weights")).filter(F.col("batch_id") == batch).drop("batch_id")
 
-    def _train(self, rows: DataFrame, weights: DataFrame, version: int, batch: int) -> None:
+    def _trained(self, rows: DataFrame, weights: DataFrame, version: int) -> DataFrame:
+        """Weights after the steps on labelled rows, with the features of a dictionary version."""
         balance = FE.class_weights(rows).select("type", F.col("weight").alias("sample_weight"))
         labels = rows.join(balance, "type").select("row_id", F.col("type").alias("label"), "sample_weight")
         features = self._features(rows, version)
-        for _ in range(self.steps - 1):
+        for _ in range(self.steps):
             weights = staged(M.gradient_step(features, weights, labels, self.rate))
-        new = M.gradient_step(features, weights, labels, self.rate)
-        write_batch(new, self._table("weights"), batch)
+        return weights
+
+    def _learn(self, rows: DataFrame, version: int, batch: int) -> None:
+        """Weights in force after a batch: trained on it and, where it brought a new dictionary, once more on the window
+        of stored batches under that dictionary. They start from the batch before, so a replay gives the same."""
+        spark = rows.sparkSession
+        weights = self._trained(rows, self._weights(spark, batch - 1), version)
+        if batch % K.UPDATE_INTERVAL == 0:
+            window = spark.read.parquet(self._table("rows")).filter(
+                F.col("batch_id").between(max(batch - K.WINDOW_BATCHES + 1, 1), batch)).drop("batch_id")
+            weights = self._trained(window, weights, batch // K.UPDATE_INTERVAL)
+        write_batch(weights, self._table("weights"), batch)
 
     def _predict(self, rows: DataFrame, version: int, batch: int) -> DataFrame:
         if not self.linear_model:
@@ -116,10 +127,11 @@ class Progressive:
         write_batch(cells, self._table("cells"), b)
         write_batch(MT.summary(MT.per_class(cells)), self._table("metrics"), b)
         self._store_counts(rows, b)
-        if self.linear_model:
-            self._train(rows, self._weights(spark, b - 1), version, b)
         if b % K.UPDATE_INTERVAL == 0:
             self._build_version(spark, b // K.UPDATE_INTERVAL, b)
+        if self.linear_model:
+            write_batch(rows.select("row_id", "url", "type", "tokens"), self._table("rows"), b)
+            self._learn(rows, version, b)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         """Run over a stream of (row_id, url, type); one file per micro-batch keeps the batches apart."""
@@ -132,6 +144,14 @@ class Progressive:
         running = MT.cumulative(cells, "batch_id")
         return MT.summary(MT.per_class(running, ["batch_id"]), ["batch_id"])
 
+    def run_summary(self, spark: SparkSession) -> DataFrame:
+        """The run in one row, also written as JSON."""
+        sizes = spark.read.parquet(self._table("totals")).groupBy("batch_id").agg(F.sum("n").alias("n"))
+        cells = spark.read.parquet(self._table("cells"))
+        summary = PR.run_summary(cells, sizes.select(F.col("batch_id").alias("batch_idx"), "n"))
+        write_summary(summary, self._table("summary"))
+        return summary
+
 
 def running_cells(predictions: DataFrame) -> DataFrame:
     """Confusion counts of a stream of (type, prediction); for complete or update mode."""
