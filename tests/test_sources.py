@@ -52,8 +52,15 @@ def test_truncated_bodies_end_on_a_character(spark):
 
 
 def test_decode_body(spark):
-    d = spark.createDataFrame([(bytearray("é".encode("latin-1")),)], "b binary")
-    assert d.select(P.decode_body(F.col("b"), "ISO-8859-1")).first()[0] == "é"
+    """As Python reads them with errors ignored; unknown and null charsets are UTF-8."""
+    rows = [("é€".encode(), "UTF-8"), (b"a\xffb\xc3", "utf-8"), (b"\xe9", "ISO-8859-1"), ("é😀".encode("utf-16-le"), "utf-16LE"),
+            ("x€".encode(), "klingon"), (b"a\xe9b", "ascii"), (None, "utf-8"), (b"ok", None), ("a\ufffdb".encode() + b"\xff", "utf8"),
+            (b"\x00\xd8a\x00", "utf-16le"), (b"\x80", "windows-1252"), (b"", "hex")]
+    want = ["é€", "ab", "é", "é😀", "x€", "ab", None, "ok", "a\ufffdb", "a", "€", ""]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<b:binary,c:string>")
+    got = d.select("i", P.decode_body(F.col("r.b"), F.col("r.c")).alias("t"), P.decode_body(F.col("r.b"), "latin1", 1).alias("l"))
+    got = got.orderBy("i").collect()
+    assert [r.t for r in got] == want and got[0].l == "Ã" and got[6].l is None
 
 
 def test_validation_splits_rows(spark):

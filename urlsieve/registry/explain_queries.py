@@ -252,20 +252,57 @@ def xai_summary(spark, sf):
     return explained(spark, sf).select("row_id", "prediction", "top_terms", "summary", "alignment_text")
 
 
-@register("xai_evidence_records")
+_source = "CASE " + " ".join(f"WHEN regexp_matches(lower(reason), '{'|'.join(w)}') THEN '{s}'" for w, s in TX.REASON_SOURCES) \
+    + f" ELSE '{TX.OTHER_SOURCE}' END"
+
+
+# Evidence records without page and alignment: what a row says about its reasons, and about each of its best tokens.
+_ctx, _odd_words = inlist(K.MALWARE_CONTEXT_TOKENS), inlist(K.COMMON_BENIGN_CONTEXT_TOKENS)
+_says = lambda texts: f"len(list_filter(reasons, lambda r: contains(lower(r), '{texts}'))) > 0"
+add("xsig", f"""SELECT l.row_id, reasons, b.prediction, round(url_score, 4) AS url_score, {_says('ip address')} AS ip,
+  {_says('executable file extension')} OR coalesce(ext, false) AS executable, coalesce(delivery, false) AS delivery
+  FROM reason_list l JOIN xb b USING (row_id) LEFT JOIN (
+    SELECT row_id, bool_or(category = 'file_extension' AND starts_with(token, 'ext:')) AS ext, bool_or(low IN {_ctx}) AS delivery
+    FROM xtop10 WHERE kind = 'top' AND NOT octet GROUP BY row_id) USING (row_id)""", "reason_list", "xb", "xtop10")
+_about = {k: _fill(t, "display", "strength") for k, t in TX.TOKEN_REASONS.items()}
+add("xrec", f"""SELECT row_id, rank, display AS token, score, {_context} AS contextual, strength IN ('strong', 'medium') AS sure,
+  strength = 'strong' AND NOT ({_context}) AS strong,
+  CASE WHEN token = 'host_is_ip' THEN {_about['ip_host']} WHEN category = 'file_extension' THEN {_about['extension']}
+       WHEN prediction = 'malware' AND low IN {_ctx} AND executable THEN {_about['delivery']}
+       WHEN low IN {_odd_words} THEN {_about['context']} ELSE {_about['match']} END AS reason,
+  CASE WHEN {_context} AND executable THEN 'contextual' WHEN low IN {_odd_words} AND strength = 'strong' THEN 'supporting'
+       ELSE strength END AS strength
+  FROM xtop10 JOIN (SELECT row_id, executable FROM xsig) USING (row_id) WHERE kind = 'top' AND NOT octet""", "xtop10", "xsig")
+_S, _R = TX.RECORD_SOURCES, TX.RECORD_REASONS
+_none = "NULL::VARCHAR AS token, NULL::VARCHAR AS strength"
+_token_record = f"CASE WHEN contextual THEN '{_S['contextual']}' ELSE '{_S['token']}' END AS source, reason, token, strength, score"
+_fact = lambda kind, when: (f"SELECT row_id, 'main_evidence', '{_S[kind]}', {_fill(_R[kind])}, NULL, NULL, NULL FROM xsig "
+                            f"WHERE {when}")
+_malware = "prediction = 'malware' AND executable AND "
+_RECORDS = f"""SELECT row_id, 'main_evidence' AS list, {_source} AS source, reason, {_none}, NULL::DOUBLE AS score
+  FROM (SELECT row_id, unnest(reasons[1:2]) AS reason FROM xsig)
+  UNION ALL {_fact('ip', 'ip')} UNION ALL {_fact('combination', _malware + 'delivery')}
+  UNION ALL {_fact('delivery', _malware + 'NOT delivery')}
+  UNION ALL SELECT row_id, 'strong_evidence', {_token_record} FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY rank) AS k FROM xrec WHERE strong) WHERE k <= 5
+  UNION ALL SELECT row_id, 'supporting_evidence', {_token_record} FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY rank) AS k FROM xrec WHERE sure AND NOT strong) WHERE k <= 6
+  UNION ALL SELECT row_id, 'supporting_evidence', '{_S['alignment']}', {_fill(TX.ALIGNMENT['none'])}, NULL, NULL, 0e0 FROM xsig
+    WHERE (SELECT count(*) FROM xrec r WHERE r.row_id = xsig.row_id AND sure AND NOT strong) <= 5
+  UNION ALL SELECT row_id, 'decision_evidence', {_source} AS source, reason, {_none}, url_score
+    FROM (SELECT row_id, unnest(reasons[1:4]) AS reason, url_score FROM xsig)"""
+
+
+@register("xai_evidence_records", query(_RECORDS, "xsig", "xrec"))
 def xai_evidence_records(spark, sf):
     d = explained(spark, sf)
-    lists = [F.transform(name, lambda r, n=name: F.struct(F.lit(n).alias("list"), r["source"].alias("source"),
-                         r["reason"].alias("reason"), r["token"].alias("token"), r["strength"].alias("strength"),
-                         r["score"].alias("score")))
-             for name in ("main_evidence", "strong_evidence", "supporting_evidence", "decision_evidence")]
+    record = lambda name: lambda r: F.struct(F.lit(name).alias("list"), *[
+        r[c].alias(c) for c in ("source", "reason", "token", "strength", "score")])
+    lists = [F.transform(name, record(name)) for name in
+             ("main_evidence", "strong_evidence", "supporting_evidence", "decision_evidence")]
     return exploded(d, F.concat(*lists), "r", "row_id").select("row_id", "r.*")
 
 
-_source = "CASE " + " ".join(f"WHEN regexp_matches(lower(reason), '{'|'.join(w)}') THEN '{s}'" for w, s in TX.REASON_SOURCES) \
-    + f" ELSE '{TX.OTHER_SOURCE}' END"
-
-
 @register("xai_reason_source", query(f"SELECT reason, {_source} AS source, count(*) AS urls FROM reasons GROUP BY reason",
                                      "reasons"))
 def xai_reason_source(spark, sf):

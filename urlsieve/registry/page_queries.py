@@ -179,6 +179,21 @@ def page_status(spark, sf):
         "page_id", "fetched", "html_analyzed", "redirected", "charset", "error")
 
 
+@register("page_bodies", """SELECT page_id, charset, length(html)::INTEGER AS chars, md5(html) AS digest FROM (
+  SELECT page_id, CASE WHEN fetched THEN CASE page_id % 4 WHEN 1 THEN 'ISO-8859-1' WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'no-such'
+                       ELSE 'utf-8' END END AS charset,
+    CASE WHEN fetched THEN CASE page_id % 4 WHEN 1 THEN '<p>éè</p>' || bytes || 'ÿ' || chr(128)
+      WHEN 2 THEN '<p>é😀' || html || 'a'
+      ELSE '<p>é' || html || CASE page_id % 3 WHEN 0 THEN 'A' ELSE '😀' END END END AS html
+  FROM (SELECT page_id, html, page_id % 11 <> 3 AS fetched, array_to_string(list_transform(range(0, strlen(html)),
+          lambda i: chr(('0x' || substr(h, 2 * i + 1, 2))::INTEGER)), '') AS bytes
+        FROM (SELECT *, hex(encode(html)) AS h FROM pages)))""")
+def page_bodies(spark, sf):
+    """Binary bodies in three charsets, one of them unknown, with broken bytes at the end."""
+    d = P.decoded_pages(views.bodies(spark, sf))
+    return d.select("page_id", "charset", F.length("html").alias("chars"), F.md5("html").alias("digest"))
+
+
 AS_OF = "2025-01-01 00:00:00"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 _SAN = (f"CASE page_id % 5 WHEN 0 THEN {{a}}('other.example', '*.invalid') "

@@ -6,6 +6,7 @@ Each text is plain SQL that Spark and DuckDB read alike; `{pages}` names the sou
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 URLS = """
 SELECT page_id * 2 AS row_id, url,
@@ -91,3 +92,24 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PROBABILITIES, urls=urls(spark, sf_dir))
+
+
+# Bodies as a crawler stores them: hexadecimal text of HTML in three charsets, some with broken bytes or cut characters.
+BODIES = """
+SELECT page_id, url, page_id % 11 <> 3 AS fetched,
+       CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/html; charset=ISO-8859-1'
+                        WHEN 2 THEN 'text/html;Charset=utf-16le' ELSE 'text/html; charset=no-such' END AS content_type,
+       CASE page_id % 4 WHEN 1 THEN '3C703EE9E83C2F703E' WHEN 2 THEN '3C0070003E00E9003DD800DE' ELSE '3C703EC3A9' END AS head,
+       CASE page_id % 4 WHEN 1 THEN 'FF80' WHEN 2 THEN '00D86100' ELSE CASE page_id % 3 WHEN 0 THEN 'FF41E282' ELSE 'F09F9880' END
+         END AS tail
+FROM {pages}
+"""
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled bodies as binary: the page's own HTML between a head and a tail of odd bytes."""
+    d = spark.sql(BODIES, pages=table(spark, sf_dir, "pages").select("page_id", "url"))
+    d = d.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").withColumn("final_url", F.col("url"))
+    wide = F.encode("html", "UTF-16LE")
+    own = F.when(F.col("page_id") % 4 == 2, wide).otherwise(F.encode("html", "UTF-8"))
+    return d.withColumn("body", F.concat(F.unhex("head"), own, F.unhex("tail"))).drop("html", "head", "tail")

@@ -131,3 +131,4 @@ RECORD_REASONS = {
                 "file contents.",
 }
 METHOD = "Lexicon-Context Evidence Module"
+XAI_METHOD = "Lexicon-Context Guided XAI"
