@@ -119,6 +119,25 @@ def test_random_secrets_of_every_length():
         assert novel(f"the private part is {repeated} as agreed") == []
 
 
+def test_long_runs_of_white_space():
+    """The ids are those of the whole text, whatever stands around a run and ends it; millions of blanks pass in seconds."""
+    encoding, length = K.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    blanks = [" " * 10_001, "\n" * 12_000, " \n\t\u3000\xa0" * 3_000, "\r\n" * 6_000 + " ", " " * 12_000 + "\n", "\x1c" * 11_000,
+              " " * 9_999]
+    for run in blanks:
+        for left in ("", "a", "it's", "5", "\u20ac!", "x\x1f"):
+            for right in ("", "a", "7", "'s", "!", "\u6f22 b", "\x1c"):
+                text = left + run + right + run[:3] + right
+                assert K.encode(text, encoding).tolist() == encoding.encode_ordinary(text), (left, run[:3], right)
+    many = "".join(run + w for run, w in zip(blanks, "abcdefg")) * 2
+    assert K.encode(many, encoding).tolist() == encoding.encode_ordinary(many)
+    for unit in (" ", "\n", " \n\t", "\u3000"):
+        text = "a" + unit * (10_000_000 // len(unit.encode())) + "b"
+        start = time.time()
+        starts, ends = K.token_spans(text, encoding, length)
+        assert starts[0] == 0 and ends[-1] == len(text) and time.time() - start < 60
+
+
 @pytest.mark.parametrize("rule", K.RULES)
 def test_token_counts_agree_with_a_vote_of_characters(spark, rule):
     texts = [None, "", "\n", "\n\n\n", "one line", "ab\ncd\n", "é\n😀😀\n  x\n\n\ny", "word " * 3000 + "\n" + "z" * 2000, "a\r\n\r\nb"]

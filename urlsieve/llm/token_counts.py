@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 RULES = ("majority", "first", "last")
 ROWS = 20_000
+LONG_RUN = 10_000  # characters of white space that are not left to the pattern, which goes back over them
+RUNS_AS_ONE = r"|\s+(?!\S)|\s+"  # end of a pattern that takes a run of white space but its last character as one piece
+WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}"  # the white space of these patterns
 
 
 def load_encoding(path: str, pattern: str):
@@ -26,9 +30,27 @@ def load_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), length
 
 
+def encode(text: str, encoding) -> np.ndarray:
+    """Ids of the whole text. A long run of white space is one piece up to its last character (at the end of the text, with
+    it), which goes with what follows; that piece is encoded as such, and the text on both sides of it by the pattern, so
+    the ids are those of the whole. Patterns that treat such runs otherwise see the whole text."""
+    ordinary = lambda part: encoding.encode_to_numpy(part, disallowed_special=())
+    pattern = encoding._pat_str
+    if len(text) < LONG_RUN or not pattern.endswith(RUNS_AS_ONE) or re.search(r"\\s[*+]|\\[rn]", pattern[:-len(RUNS_AS_ONE)]):
+        return ordinary(text)
+    parts, at = [], 0
+    for run in re.finditer(WHITE, text):
+        if len(run[0]) >= LONG_RUN:
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [ordinary(text[at:run.start()]),
+                      np.array(encoding._encode_single_piece(text[run.start():end].encode()), np.uint32)]
+            at = end
+    return np.concatenate([*parts, ordinary(text[at:])]) if parts else ordinary(text)
+
+
 def token_spans(text: str, encoding, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of the tokens: a token covers every character of which it holds a byte."""
-    ids = encoding.encode_to_numpy(text, disallowed_special=())
+    ids = encode(text, encoding)
     ends = np.cumsum(length[ids])
     starts = ends - length[ids]
     data = text.encode()
@@ -70,7 +92,7 @@ def count_by_section(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     A document is encoded as a whole, so its counts add up to its tokens. A token that crosses from one section
     into others belongs to the one with most of its characters, on a tie the earlier (`majority`), or to the
-    first or the last it touches. Null or empty text: one section 0 of no characters and no tokens. Repeated rows
+    first or the last it touches. Texts of any length go whole, with runs of blanks of any length. Null or empty text: one section 0 of no characters and no tokens. Repeated rows
     give repeated results, null keys stay, other columns are not looked at.
     """
     if rule not in RULES:
