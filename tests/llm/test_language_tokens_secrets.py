@@ -204,3 +204,21 @@ def test_many_base_spans_take_linear_time():
     base = X.base_spans(text, text.lower())
     assert len(base) == 60_000 and X.novel_spans(text, text.lower(), base) == []
     assert time.process_time() - start < 30
+
+
+def test_texts_are_cut_only_where_the_tokenizer_drops_blanks():
+    texts = ["two words", "a  b\n\nc", " lead", "trail ", "", "it's 12 x\n", "caf\u00e9 \u6f22\u5b57 \u00a0z"]
+    for name, cut in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder = T.Encoder(P.path(name))
+        assert encoder.splits is cut
+        whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in encoder(texts)] == whole
+    split = lambda pattern, **more: {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed",
+                                                       "invert": True, **more}}
+    assert T.cuts_at_blanks(split(r"\p{L}+|\p{N}|[^\s\p{L}]+"))
+    for pattern in (r" ?\p{L}+", r"\S+|\s+", r".", r"[^a]+", r"\W", r"\p{Z}+", r"a\nb", r"\P{L}"):
+        assert not T.cuts_at_blanks(split(pattern)), pattern
+    assert not T.cuts_at_blanks(split("a", invert=False)) and not T.cuts_at_blanks(split("a", behavior="Isolated"))
+    assert not T.cuts_at_blanks({}) and T.cuts_at_blanks({"pre_tokenizer": {"type": "WhitespaceSplit"}})
+    assert not T.cuts_at_blanks({"normalizer": {"type": "NFKC"}, **split("a")})
+    assert not T.cuts_at_blanks({"added_tokens": [{"content": "a b"}], **split("a")})

@@ -137,24 +137,46 @@ def filesystem(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
+def cuts_at_blanks(rules: dict) -> bool:
+    """Whether a tokenizer file shows that blanks and line ends are dropped before tokens are looked for, so that a text
+    may be cut there: its normalizers change no blank into another character, its first split drops what it does not
+    match, and its pattern names letters, numbers, marks and signs only. False where in doubt."""
+    steps = lambda step, inside: [] if not step else step[inside] if step["type"] == "Sequence" else [step]
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if not all(n["type"] in ("NFC", "NFD", "Lowercase") or n == blank for n in steps(rules.get("normalizer"), "normalizers")):
+        return False
+    if any(re.search(r"\s", t["content"]) for t in rules.get("added_tokens", [])):
+        return False
+    first = next(iter(steps(rules.get("pre_tokenizer"), "pretokenizers")), {"type": None})
+    if first["type"] != "Split":
+        return first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    pattern = first["pattern"].get("Regex")
+    if pattern is None or not first["invert"] or first["behavior"] != "Removed":
+        return False
+    return not re.search(r"[\\.^\s]", re.sub(r"\\p\{[LNPSM]\w?\}", "", pattern.replace(r"[^\s", "[")))
+
+
 class Encoder:
     """Ids of texts by a tokenizers file. Pieces between blanks and line ends are encoded once and remembered, up to
     CACHE_WORDS of them.
 
-    Such a cut changes no id where the tokenizer itself never joins across white space, as `splits` says. New pieces
+    Such a cut changes no id where the tokenizer itself never joins across white space: `splits` says so, or where it is
+    None, the tokenizer's file; any other tokenizer sees whole texts. New pieces
     that are one word, or one word and a mark, are encoded many at once where the vocabulary marks word ends.
     """
 
     SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?")
     AT_ONCE = 4096
 
-    def __init__(self, tokenizer_path: str, splits: bool):
+    def __init__(self, tokenizer_path: str, splits: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.splits = Tokenizer.from_file(tokenizer_path), splits
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.splits = cuts_at_blanks(rules) if splits is None else splits
         self.known: dict[str, bytes] = {}
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        suffix = rules["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix:
             vocabulary = self.tokenizer.get_vocab()
@@ -196,7 +218,7 @@ class Encoder:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, key: str = "doc_id",
-                      text: str = "text", unit: str = "byte", splits: bool = True) -> DataFrame:
+                      text: str = "text", unit: str = "byte", splits: bool | None = None) -> DataFrame:
     """Write the ids of every text, each followed by `end_id`, to files in `folder`, in ascending key order over the
     range-numbered files; returns (part, path, ids, documents), one row a file.
 
