@@ -122,6 +122,19 @@ def test_similar_cases_look_at_few_pairs(spark):
     assert pairs(2000) < 12 * pairs(200)
 
 
+def test_similar_cases_of_one_kind_are_met_once(spark):
+    """Sets that differ in a token of their own only make no pair of each two, and null and repeated case ids count."""
+    n = 300
+    sets = spark.createDataFrame([(i, [10**6 + i, *range(1, 21)]) for i in range(n)], "_set long, t array<long>")
+    assert S._alike(sets, sets.withColumnRenamed("_set", "_case"), S.STEPS[1]).count() <= 4 * n
+    words = [f"w{i}" for i in range(20)]
+    d = spark.createDataFrame([(i, [*words, f"own{i}"]) for i in range(n)], "row_id long, tokens array<string>")
+    cases = d.select(F.when(F.col("row_id") >= 2, F.col("row_id") - F.col("row_id") % 2).alias("case_id"), F.lit("benign").alias("label"), "tokens")
+    got = {r.row_id: [(c.case_id, round(c.similarity, 4)) for c in r.cases] for r in S.similar_cases(d, cases).collect()}
+    assert got == {i: [(None, 1.0), (None, 0.9091), (2, 0.9091)] if i < 2 else
+                   [(i - i % 2, 1.0), (None, 0.9091), (None, 0.9091)] for i in range(n)}
+
+
 def test_global_rank_with_copies(spark):
     d = PR.ordered(url_frame(spark, urls()))
     rows = d.orderBy("order_key", "row_id").collect()
