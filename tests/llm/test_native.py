@@ -140,6 +140,25 @@ def test_mixture(spark):
     assert C.curriculum(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_training_steps_come_from_the_order(spark):
+    """Steps count the written passes of all range partitions; rows that are not taken have none."""
+    docs = [(i, "w " * (i % 7), f"s{i % 4}") for i in range(200)] + [(5, "w", "s0"), (5, "w", "s0"), (None, None, None)]
+    d = C.curriculum(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    got = C.training_steps(d, 5, ("source", "doc_id", "text_hash")).collect()
+    assert len(got) == len(docs) and "first_step" in got[0].asDict()
+    every = sorted((p, r.source, r.doc_id, r.text_hash) for r in d.collect() for p in r.positions)
+    first = {}
+    for i, (_, *row) in enumerate(every):
+        first.setdefault(tuple(row), i)
+    for r in got:
+        assert r.passes == len(r.positions)
+        if r.doc_id == 5 and r["size"] == 1 and r.source == "s0":
+            continue  # equal rows
+        assert r.first_step == first.get((r.source, r.doc_id, r.text_hash))
+        assert r.first_position == (min(r.positions) if r.positions else None)
+    assert C.training_steps(d.limit(0), 5).count() == 0
+
+
 CHATS = "conv_id long, turn long, role string, text string"
 
 

@@ -95,11 +95,31 @@ def curriculum(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
                     *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
-    """One row for every pass with its training `position`, sorted by it over range partitions."""
+def training_order(mixed: DataFrame, partitions: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row for every pass with its training `position`, sorted by it (then by `ties`) over range partitions."""
     names = unclashing(mixed.columns, ["positions", "position"])
     rows = mixed.select(*names, F.explode_outer("positions").alias("position")).filter("position is not null")
-    return rows.repartitionByRange(partitions, "position").sortWithinPartitions("position")
+    return rows.repartitionByRange(partitions, "position").sortWithinPartitions("position", *ties)
+
+
+def training_steps(mixed: DataFrame, partitions: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of `mixed` with its passes in the training order: `passes`, `first_position` and `first_step`, the
+    number of passes before its first one; null where it is not taken.
+
+    The passes are written in training order; a pass's step is its place in its range after the rows of the ranges
+    before. One row a range meets in one task.
+    """
+    names = unclashing(mixed.columns, ["__no", "passes", "first_position", "first_step"])
+    mixed = written(mixed.withColumn("__no", F.monotonically_increasing_id()), "mixed")
+    order = training_order(mixed.select("__no", "positions", *ties), partitions, ties)
+    at = F.monotonically_increasing_id()  # the range above 33 bits of the place in it
+    order = written(order.select("__no", "position", F.shiftright(at, 33).alias("range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "training")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = order.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    steps = order.join(ranges, "range").groupBy("__no").agg(
+        F.count("*").cast("int").alias("passes"), F.min("position").alias("first_position"), F.min(F.col("start") + F.col("at")).alias("first_step"))
+    return mixed.select("__no", *names).join(steps, "__no", "left").select(
+        *names, F.coalesce("passes", F.lit(0)).alias("passes"), "first_position", "first_step")
 
 
 def _time_of(share: Column, kind: Column, schedules) -> Column:
