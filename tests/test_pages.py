@@ -97,3 +97,15 @@ def test_workers_without_the_package_on_their_path(tmp_path, sf, name):
     code = (f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from urlsieve.session import local_session; "
             f"s = local_session('away', '2', 2); print(e.queries()[{name!r}](s, {sf!r}).count())")
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300)
+
+
+def test_learned_keyword_hits_read_the_pages_once(spark):
+    texts = ["verify your account now", "a log-in page, log-ins too", "pre-verify x.y", "", None]
+    pages = spark.range(5).select(F.col("id").alias("page_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") + 1).cast("int")).alias("text_surface"))
+    terms = spark.createDataFrame([("phishing", "verify"), ("phishing", "your account"), ("malware", "log-in"), ("malware", "x.y"),
+                                   ("malware", "verify"), ("malware", "count")], "class string, term string")
+    hits = P.learned_keyword_hits(pages, terms, "page_id")
+    assert sorted(map(tuple, hits.collect())) == [
+        (0, "malware", "verify"), (0, "phishing", "verify"), (0, "phishing", "your account"), (1, "malware", "log-in"),
+        (2, "malware", "verify"), (2, "malware", "x.y"), (2, "phishing", "verify")]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 5") == 1
