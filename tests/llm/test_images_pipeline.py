@@ -80,6 +80,58 @@ def test_copies_that_share_one_or_two_entries(spark):
     assert {(r.copy_class, r.n_links) for r in got} == {(0, 1)}
 
 
+def boilerplate_pages(n):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    parts = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 60))) for _ in range(12)]
+    return [f"<p>home shop about</p><p>{rng.choice(parts)}</p><div>{rng.choice(parts)} {i}</div><p>all rights reserved</p>"
+            for i in range(n)]
+
+
+def brute_links(f):
+    inliers = {(i, j): I.consensus(f[i], f[j])[0] for i in range(len(f)) for j in range(len(f)) if i != j}
+    return {p: n for p, n in inliers.items() if n >= max(I.LEAST_INLIERS, I.LEAST_SHARE * min(len(f[p[0]]), len(f[p[1]])))}
+
+
+def test_no_link_of_pages_with_common_parts_is_left_out(spark):
+    pages_ = {I.draw_page(h).tobytes(): h for h in boilerplate_pages(90)}  # characters may share a shade
+    html = list(pages_.values())
+    images = [I.draw_page(h) for h in html]
+    f = I.features(images)
+    ids = [I.image_id(i, g) for i, g in zip(images, f)]
+    links = {p: n for p, n in brute_links(f).items() if ids[p[0]] < ids[p[1]]}
+    best, least = {}, list(range(len(f)))
+    for (i, j), n in links.items():
+        best[i], best[j] = max(best.get(i, 0), n), max(best.get(j, 0), n)
+    for _ in f:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    want = [(i, least[i], sum(i in p for p in links), best.get(i, 0)) for i in range(len(f))]
+    got = I.find_copies(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"))
+    assert len(links) > 40
+    assert sorted((r.page_id, r.copy_class, r.n_links, r.inliers) for r in got.collect()) == want
+
+
+def test_pack_links_agree_with_consensus(monkeypatch):
+    images = [I.draw_page(h) for h in boilerplate_pages(24)]
+    images += [np.rot90(images[0]).copy(), images[1].repeat(2, 0).repeat(2, 1), images[2][10:], np.tile(images[3], (9, 1))]
+    f = I.features(images)
+    order = np.random.default_rng(3).permutation(len(f))
+
+    def pack(at):
+        return I.Pack(order[at], np.array([len(f[i]) for i in at]), np.concatenate([f[i] for i in at]))
+
+    brute = brute_links(f)
+    for cells, pairs, sums in ((1 << 25, 1 << 16, 1 << 18), (3000, 7, 50)):
+        monkeypatch.setattr(I, "CELLS", cells), monkeypatch.setattr(I, "PAIRS", pairs), monkeypatch.setattr(I, "SUMS", sums)
+        found = []
+        for x, y in (([*range(15)], [*range(15, 28)]), ([*range(15, 28)], [*range(15)]), ([*range(28)], [*range(28)])):
+            found.append({(x[i], y[j], n) for i, j, n in zip(*(c.tolist() for c in I.pack_links(pack(x), pack(y))))})
+        want = {(i, j, n) for (i, j), n in brute.items() if order[i] < order[j]}
+        assert found[0] | found[1] == {p for p in want if (p[0] < 15) != (p[1] < 15)}
+        assert found[2] == want and len(want) > 5
+
+
 def test_odd_images(spark):
     html = "<p>" + " ".join(f"word{i * i % 97}" for i in range(900)) + "</p>"
     rows = [(1, None), (2, ""), (3, "<p>x"), (4, html), (5, html), (5, html), (None, html), (6, html + "<p>more text below it</p>"),
