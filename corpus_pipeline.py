@@ -73,8 +73,8 @@ STAGES = [("language_id", language_id), ("near_copies", near_copies), ("decontam
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; each but the last is written and read again by the next."""
+    """The stages one after another; each but the last is written, texts tightly packed, and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, "zstd")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -189,6 +189,18 @@ def test_pipeline(spark, sf, corpus, tmp_path):
     assert docs.select("shard", "slot").distinct().count() == docs.count()
 
 
+def test_stages_are_written_tightly(spark, sf, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(P, "STAGES", [("first", lambda s, d, _: d), ("last", lambda s, d, _: d)])
+    monkeypatch.setattr("urlsieve.session.shared_dir", lambda _: str(tmp_path))
+    assert P.run(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    files = list(tmp_path.glob("first-*/*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
 def test_pipeline_of_no_documents(spark, sf, corpus):
     import corpus_pipeline as P
 

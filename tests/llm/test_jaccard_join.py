@@ -97,6 +97,24 @@ def test_join_agrees_with_all_pairs(spark, monkeypatch, percent, k):
     assert found(spark, rows, k, percent) == expected(rows, k, percent)
 
 
+def test_a_shingle_has_one_row_a_block(spark):
+    rows = [(7, label, label % 2, 10 + label, label) for label in range(40)] + [(7, 5, 0, 99, 41), (8, 1, 1, 10, 1)]
+    common, held = J._holders(spark.createDataFrame(rows, "token long, label long, block long, n long, class_id long"))
+    assert {tuple(r) for r in common.collect()} == {(7, 5), (8, 1)}
+    assert {tuple(r) for r in held.select("token", "block", "lo", "hi", "low", "high", "common_low", "common_high").collect()} == {
+        (7, 0, 0, 38, 10, 99, 99, 99), (7, 1, 1, 39, 11, 49, 15, 15), (8, 1, 1, 1, 10, 10, 10, 10)}
+
+
+def test_a_common_shingle_across_blocks_agrees_with_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 300)
+    rng = random.Random(6)
+    rows = []
+    for f in range(60):
+        base = [f"v{rng.randrange(300)}" for _ in range(24)] + ["the", "very", "common", "words"] * (f % 2)
+        rows += [(len(rows) + i, " ".join(base[:-i] if i else base)) for i in range(2)]
+    assert found(spark, rows) == expected(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (7, "ONE  two"), (8, "a b c"),
             (9, "a b c"), (9, "a b c"), (None, "a b c"), (None, "x y z"), (10, "é É ß"), (11, "É É ß"),

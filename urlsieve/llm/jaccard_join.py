@@ -117,14 +117,11 @@ def _visits(labelled: DataFrame, percent: int) -> DataFrame:
             .filter("has >= needs").select("class_id")
         left = left.join(enough, "class_id")
     left = _rehoused(written(left, "posts"))
-    held = left.groupBy("token", "label", "block").agg(F.count("*").alias("rows"), F.min("n").alias("low"),
-                                                       F.max("n").alias("high"))
-    common = held.groupBy("token", "label").agg(F.sum("rows").alias("rows")) \
-        .groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("common"))
-    held = held.join(common, "token").withColumn("is_common", F.col("label") == F.col("common")).drop("common")
+    common, held = _holders(left)
+    fits = lambda low, high: f"100 * p.n >= {percent} * h.{low} and 100 * h.{high} >= {percent} * p.n"
     visits = left.join(common, "token").filter("label <> common").alias("p").join(held.alias("h"), F.expr(
-        f"p.token = h.token and p.label <> h.label and (p.block > h.block or h.is_common and p.block <> h.block) "
-        f"and 100 * p.n >= {percent} * h.low and 100 * h.high >= {percent} * p.n")) \
+        f"p.token = h.token and (p.block > h.block and (h.lo <> p.label or h.hi <> p.label) and {fits('low', 'high')} "
+        f"or p.block <> h.block and {fits('common_low', 'common_high')})")) \
         .groupBy("p.class_id", F.col("h.block").alias("to")) \
         .agg(F.count_distinct("p.token").alias("shared"), F.first("p.least").alias("needs")) \
         .filter("2 * shared >= needs") \
@@ -134,6 +131,20 @@ def _visits(labelled: DataFrame, percent: int) -> DataFrame:
     return labelled.select("class_id", "row", "label").join(goes, "class_id")
 
 
+def _holders(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, common) with the label that most rows of a shingle have, and one row a shingle and block, whatever the
+    number of components that hold it there: token, block, least and greatest label, the sizes of all its holders,
+    and those of the common label's (null: it is not there)."""
+    held = left.groupBy("token", "label", "block").agg(F.count("*").alias("rows"), F.min("n").alias("low"),
+                                                       F.max("n").alias("high"))
+    common = held.groupBy("token", "label").agg(F.sum("rows").alias("rows")) \
+        .groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("common"))
+    is_common = F.col("label") == F.col("common")
+    return common, held.join(common, "token").groupBy("token", "block").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min(F.when(is_common, F.col("low"))).alias("common_low"), F.max(F.when(is_common, F.col("high"))).alias("common_high"))
+
+
 def _rehoused(left: DataFrame) -> DataFrame:
     """`left` with new blocks: classes live with those that share the commonest of their remaining shingles, so that
     the holders of a shingle stand in few blocks. An overfull home is divided."""
