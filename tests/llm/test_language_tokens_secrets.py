@@ -222,3 +222,30 @@ def test_texts_are_cut_only_where_the_tokenizer_drops_blanks():
     assert not T.cuts_at_blanks({}) and T.cuts_at_blanks({"pre_tokenizer": {"type": "WhitespaceSplit"}})
     assert not T.cuts_at_blanks({"normalizer": {"type": "NFKC"}, **split("a")})
     assert not T.cuts_at_blanks({"added_tokens": [{"content": "a b"}], **split("a")})
+
+
+def test_words_and_marks_are_encoded_apart_with_the_same_ids():
+    """A word that comes with other marks gives the tokenizer nothing new."""
+    encoder = T.Encoder(P.path("word_bpe_49k.json"))
+    letters = "".join(chr(c) for c in [*range(0xC0, 0x100), *range(0x41, 0x5B), *range(0x61, 0x7B)] if chr(c).isalpha())
+    texts = ["Zorvel zorvel, ZORVEL!!", "zorvel... ***\nzorvel$$$ it's 'S x's! 9a a9, a,b", letters, " ".join(letters), "", " \n ",
+             "İı ß, á. Å; <|endoftext|>, x<|endoftext|>"]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encoder(texts)] == whole and encoder([]) == []
+    calls = []
+    tokenizer = encoder.tokenizer
+    encoder.tokenizer = type("Counted", (), {"encode_batch_fast": lambda _, batch, **more: calls.extend(batch)
+                                             or tokenizer.encode_batch_fast(batch, **more)})()
+    again = ["ZORVEL, zorvel!! Zorvel***", "ZORVEL..."]
+    assert [ids.tolist() for ids in encoder(again)] == [e.ids for e in tokenizer.encode_batch(again, add_special_tokens=False)]
+    assert not any(calls)
+
+
+def test_marks_are_told_from_letters_by_the_pattern_only():
+    split = lambda pattern, **more: {"pre_tokenizer": {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed",
+                                                       "invert": True, **more}}
+    assert T.parts_at_marks(split(r"'s|'ll|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"))
+    for pattern in (r"[\p{L}\p{P}]+", r"\S+", r"[^\s]+", r"\p{L}+\p{P}", r".", r"[^\s\p{L}]+"):
+        assert not T.parts_at_marks(split(pattern)), pattern
+    assert not T.parts_at_marks({"added_tokens": [{"content": "Mr."}], **split(r"\p{L}+")})
+    assert not T.parts_at_marks(split(r"\p{L}+", invert=False)) and not T.parts_at_marks({}) and not T.parts_at_marks({"pre_tokenizer": None})

@@ -20,6 +20,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from .common import text_buffers, text_runs
 MAGIC = b"PLANES01"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-TEXT_BYTES = 1 << 20  # of text given to the tokenizer at once
+TEXT_BYTES = 1 << 21  # of text given to the tokenizer at once
 CACHE_WORDS = 600_000  # encoded pieces of text a worker remembers
 
 
@@ -156,17 +157,33 @@ def cuts_at_blanks(rules: dict) -> bool:
     return not re.search(r"[\\.^\s]", re.sub(r"\\p\{[LNPSM]\w?\}", "", pattern.replace(r"[^\s", "[")))
 
 
+def parts_at_marks(rules: dict) -> bool:
+    """Whether a tokenizer file shows that no token holds both a letter and a mark: its first split drops what it does not
+    match, every alternative of its pattern names letters only, numbers only, signs only, or begins with an apostrophe, and
+    no added token holds a mark. False where in doubt."""
+    if any(set(t["content"]) & set(Encoder.MARKS) for t in rules.get("added_tokens", [])):
+        return False
+    step = rules.get("pre_tokenizer") or {}
+    first = (step.get("pretokenizers") or [step])[0]
+    if first.get("type") != "Split" or not first["invert"] or first["behavior"] != "Removed" or "Regex" not in first["pattern"]:
+        return False
+    return all(re.fullmatch(r"'[a-z]+|\[?\\p\{[LN]\}\]?\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+", a) for a in first["pattern"]["Regex"].split("|"))
+
+
 class Encoder:
     """Ids of texts by a tokenizers file. Pieces between blanks and line ends are encoded once and remembered, up to
-    CACHE_WORDS of them.
+    CACHE_WORDS of them; the different pieces of a batch are looked up once each and put in place by their numbers.
 
     Such a cut changes no id where the tokenizer itself never joins across white space: `splits` says so, or where it is
-    None, the tokenizer's file; any other tokenizer sees whole texts. New pieces
-    that are one word, or one word and a mark, are encoded many at once where the vocabulary marks word ends.
+    None, the tokenizer's file; any other tokenizer sees whole texts. Where the file shows that no token holds both a letter
+    and a mark, a text is cut between a word and the marks at its end too. New pieces that are one word, or marks, are
+    encoded many at once where the vocabulary marks word ends.
     """
 
-    SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]?")
-    AT_ONCE = 4096
+    LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?#$%&*"
+    SIMPLE = re.compile(f"[{LETTERS}]+|[{MARKS}]+")
+    LAST_MARKS = f"([{LETTERS}])([{MARKS}]+)([ \\n]|$)"
+    AT_ONCE = 512
 
     def __init__(self, tokenizer_path: str, splits: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,10 +192,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         rules = json.loads(self.tokenizer.to_str())
         self.splits = cuts_at_blanks(rules) if splits is None else splits
+        self.parts = parts_at_marks(rules)
         self.known: dict[str, bytes] = {}
         suffix = rules["model"].get("end_of_word_suffix")
         self.ends = None
-        if suffix:
+        if suffix and self.parts:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
@@ -193,28 +211,40 @@ class Encoder:
             part = simple[i:i + self.AT_ONCE]
             ids = self._ids(" ".join(part))
             ends = np.flatnonzero(self.ends[ids]) + 1
-            words = np.cumsum([1 if w[-1].isalpha() else 2 for w in part])
-            if len(ends) == words[-1] and ends[-1] == len(ids):
-                cuts = ends[words - 1].tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                cuts = (4 * ends).tolist()
                 packed = ids.tobytes()
-                out.update(zip(part, [packed[4 * a:4 * b] for a, b in zip([0, *cuts], cuts)]))
+                out.update(zip(part, [packed[a:b] for a, b in zip([0, *cuts], cuts)]))
         rest = [w for w in pieces if w not in out]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.splits:
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = self._encode(list({w for p in pieces for w in p if w not in known}))
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        if self.parts:
+            column = pc.replace_substring_regex(column, self.LAST_MARKS, r"\1 \2\3")
+        pieces = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        numbered = pieces.flatten().dictionary_encode()
+        known, words = self.known, []
+        if len(numbered):  # no piece holds a blank; one string for all is made faster than one for each
+            every = pa.LargeListArray.from_arrays(pa.array([0, len(numbered.dictionary)], pa.int64()), numbered.dictionary)
+            words = pc.binary_join(every, " ")[0].as_py().split(" ")
+        fresh = self._encode([w for w in words if w not in known])
         known.update(fresh)
-        found = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in pieces]
+        packed = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids, number = np.frombuffer(b"".join(packed), "<u4"), numbered.indices.to_numpy()
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[number])))  # of the pieces, in the ids of the batch
+        shift = (np.cumsum(size) - size)[number] - ends[:-1]
+        ids = ids[np.repeat(shift, size[number]) + np.arange(ends[-1])]
         if len(known) > CACHE_WORDS:
             for w in fresh:
                 del known[w]
-        return found
+        cuts = ends[np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.list_value_length(pieces).to_numpy())))].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, key: str = "doc_id",
@@ -252,7 +282,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                 out = fs.open_output_stream(draft)
                 writer = PlaneWriter(out, unit)
             for i, j in text_runs(text_buffers(batch.column("text"))[1], TEXT_BYTES):
-                texts = batch.column("text").slice(i, j - i).to_pylist()
+                texts = batch.column("text").slice(i, j - i)
                 for k, ids in zip(batch.column("key").slice(i, j - i).to_pylist(), encode(texts)):
                     writer.add(k, np.append(ids, np.array([end_id], "<u4")))
         if writer is not None:
