@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import written
+from ..session import new_folder, written
 
 # Parameters of the known tools; `type` is a JSON type, limits and choices are optional.
 SCHEMAS = {
@@ -122,27 +123,33 @@ def _joined(calls: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 
 def _levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv_id, call_id, level) of the calls that no cycle holds up, and (conv_id, call_id, unknown needs)."""
+    """(conv_id, call_id, level) of the calls that no cycle holds up, and (conv_id, call_id, unknown needs).
+
+    A round places the calls whose last need the round before placed; only the calls placed last are looked for among the
+    needs, and only calls that still wait go on. The rounds are folders of one table, read once at the end.
+    """
     wanted = calls.select("conv_id", "call_id", F.explode_outer(F.array_distinct("needs")).alias("need")).filter("need is not null")
     named = calls.select(F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_call"))
     found = wanted.join(named, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("need") == F.col("n_call")), "left")
     unknown = found.filter("n_call is null").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("need")).alias("unknown"))
     edges = written(found.filter("n_call is not null").select("conv_id", "call_id", "need"), "needs")
     many = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("many"))
-    waiting = written(_joined(calls.select("conv_id", "call_id"), many, "left"), "waiting")
-    levels = written(waiting.filter("many is null").select("conv_id", "call_id", F.lit(0).alias("level")), "levels")
-    waiting = waiting.filter("many is not null")
+    rows = _joined(calls.select("conv_id", "call_id"), many, "left").select(
+        "conv_id", "call_id", F.coalesce("many", F.lit(0)).cast("long").alias("missing"))
+    folder, schema, level = new_folder(calls.sparkSession, "levels"), rows.schema, 0
     while True:
-        held = levels.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call"), "level")
-        ready = edges.join(held, F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("need") == F.col("l_call"))) \
-            .groupBy("conv_id", "call_id").agg(F.count("*").alias("placed"), (F.max("level") + 1).alias("level"))
-        new = _joined(waiting, ready, "inner").filter("placed = many").select("conv_id", "call_id", "level")
-        known = levels.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
-        new = written(new.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & F.col("call_id").eqNullSafe(F.col("k_call")),
-                               "left_anti"), "level")
-        if new.isEmpty():
-            return levels, unknown
-        levels = levels.unionByName(new)
+        rows.write.parquet(f"{folder}/level={level}")
+        rows = calls.sparkSession.read.schema(schema).parquet(f"{folder}/level={level}")
+        placed, waiting = rows.filter("missing = 0"), rows.filter("missing > 0")
+        if placed.isEmpty():
+            every = calls.sparkSession.read.schema(StructType([*schema, StructField("level", IntegerType())])).parquet(folder)
+            return every.filter("missing = 0").drop("missing"), unknown
+        ready = edges.join(placed.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_call")),
+                           F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("need") == F.col("l_call"))) \
+            .groupBy("conv_id", "call_id").agg(F.count("*").alias("many"))
+        rows = _joined(waiting, ready, "left").select(
+            "conv_id", "call_id", (F.col("missing") - F.coalesce("many", F.lit(0))).alias("missing"))
+        level += 1
 
 
 def _problems(value: Column, schemas: dict) -> Column:
