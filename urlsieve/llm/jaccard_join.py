@@ -68,8 +68,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
                    F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class_id"), F.col("parts")))).alias("block"),
         F.when((F.col("parts") > 1) & (F.col("class_id") == F.col("first")), F.transform(
             F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-            lambda p: F.xxhash64(F.pmod("anchor", F.lit(blocks)), F.col("anchor"), p))).alias("everywhere"),
-        "prefix"), "placed")
+            lambda p: F.xxhash64(F.pmod("anchor", F.lit(blocks)), F.col("anchor"), p))).alias("everywhere")), "placed")
     own = F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("visitor")))
     near = placed.filter("first is not null").select(
         "class_id", "row", F.col("class_id").alias("label"),
@@ -79,8 +78,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     known = components(first_links)
 
     labelled = written(placed.join(known.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "class_id", "n", "block", "row", F.coalesce("root", "class_id").alias("label"), "prefix"), "labelled")
-    second_links = _search(source, _visits(labelled, percent), k, percent)
+        "class_id", "n", "block", "row", F.coalesce("root", "class_id").alias("label")), "labelled")
+    second_links = _search(source, _visits(labelled, classes.select("class_id", "prefix"), percent), k, percent)
     roots = components(first_links.unionByName(second_links))
 
     ids = classes.select("class_id", "least", "row").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left") \
@@ -98,23 +97,24 @@ def _rank():
     return F.struct(F.col("key").isNull().alias("missing"), "key", "text_hash")
 
 
-def _visits(labelled: DataFrame, percent: int) -> DataFrame:
+def _visits(labelled: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Where classes must still be searched: class_id, row, label, goes (blocks, and whether only as a visitor).
 
     A partner of a set of n has percent * n / 100 shingles or more, so both prefixes together hold at least
     `least` shared ones. For each of those, one of the two is outside the common component and visits the
-    other's block; so one of the two visits for half of them or more.
+    other's block; so one of the two visits for half of them or more. All prefix shingles move with their class
+    alone; what is known of the class is joined to those that stay.
     """
-    posts = labelled.withColumn("least", 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)) \
-        .select("class_id", "n", "least", "block", "label", F.explode_outer("prefix").alias("token")) \
-        .filter("token is not null")
-    left = posts
+    facts = labelled.select("class_id", "n", (1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)).alias("least"),
+                            "block", "label")
+    left = labelled.select("class_id", "label").join(prefixes, "class_id") \
+        .select("class_id", "label", F.explode_outer("prefix").alias("token")).filter("token is not null")
     for _ in range(2):  # without the classes that drop out, more shingles stand in one component only
         mixed = left.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")) \
             .filter("lo <> hi").select("token")
-        left = written(left.join(mixed, "token"), "posts")
-        enough = left.groupBy("class_id").agg(F.count("*").alias("has"), F.first("least").alias("needs")) \
-            .filter("has >= needs").select("class_id")
+        left = written(left.select("class_id", "token").join(mixed, "token"), "posts")
+        enough = left.groupBy("class_id").agg(F.count("*").alias("has")).join(facts, "class_id") \
+            .filter("has >= least").drop("has")
         left = left.join(enough, "class_id")
     left = _rehoused(written(left, "posts"))
     common, held = _holders(left)
