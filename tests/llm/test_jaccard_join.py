@@ -135,3 +135,13 @@ def test_components(spark):
     want = {i: 0 for i in range(61)} | {100: 100, 101: 100, 103: 100}
     assert {r.node: r.root for r in components(rows).collect()} == want
     assert components(rows.limit(0)).count() == 0
+
+
+def test_prefixes_are_written_with_sets_and_classes_only(spark, monkeypatch):
+    real, seen = J.written, {}
+    monkeypatch.setattr(J, "written", lambda df, name, *more: seen.setdefault(name, df.columns) and real(df, name, *more))
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["x"])), (3, "a b c d"), (4, None)]
+    found = {r.doc_id: r.component_id for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted(n for n, columns in seen.items() if "prefix" in columns) == ["classes", "sets"]

@@ -218,3 +218,11 @@ def test_tool_calls_of_all_chats(spark, sf):
             whole = json.loads(r.json)
             assert r.json == json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
             assert whole.get("result") == results.get(key) and whole["needs"] == sorted(needs[key])
+
+
+def test_levels_of_a_long_chain_are_one_table(spark):
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(6)] + [(1, "x", ["y"]), (1, "y", ["x"]), (None, "c0", ["gone"])]
+    levels, _ = H._levels(spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>"))
+    assert sorted(((r.conv_id or 0, r.call_id, r.level) for r in levels.collect())) == \
+        [(0, "c0", 0)] + [(1, f"c{i}", i) for i in range(6)]
+    assert "Union" not in levels._jdf.queryExecution().analyzed().toString()
