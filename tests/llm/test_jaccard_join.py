@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from urlsieve.llm import components as C
 from urlsieve.llm import jaccard_join as J
 from urlsieve.llm.components import components
 from urlsieve.llm.tsearch import block_links
@@ -145,3 +146,30 @@ def test_prefixes_are_written_with_sets_and_classes_only(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: 1, 2: 1, 3: 3, 4: 4}
     assert sorted(n for n, columns in seen.items() if "prefix" in columns) == ["classes", "sets"]
+
+
+def test_stars_need_one_step_and_no_links_none(spark, monkeypatch):
+    real, steps = C.written, []
+    monkeypatch.setattr(C, "written", lambda df, name, *more: steps.append(name) or real(df, name, *more))
+    star = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21)], "a long, b long")
+    assert {r.node: r.root for r in C.components(star).collect()} == {i: 1 for i in range(1, 9)} | {20: 20, 21: 20}
+    assert len(steps) == 2  # the links, and one step
+    assert C.components(star.limit(0)).count() == 0
+    assert len(steps) == 4
+
+
+def test_second_links_alone_make_the_last_components(spark, monkeypatch):
+    given, real = [], J.components
+    monkeypatch.setattr(J, "components", lambda links, *more: given.append(links) or real(links, *more))
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 200)
+    rows = corpus(4, 6, 5, (20, 60), 2)
+    assert found(spark, rows) == expected(rows)
+    first, second = [{(r.a, r.b) for r in links.collect()} for links in given]
+    assert first and not first & second
+
+
+def test_the_sketch_is_two_bytes_a_cell(spark):
+    texts = spark.createDataFrame([("a b c d",), ("a b c e",), (None,)], "text string")
+    sketch = J._sketch(texts, 3)
+    assert sketch.dtype == np.uint16 and len(sketch) == 1 << J.CELL_BITS
+    assert sorted(sketch[sketch > 0].tolist()) == [int(np.float32(n).view(np.uint32) >> 15) for n in (1, 1, 2)]

@@ -80,10 +80,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     labelled = written(placed.join(known.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "class_id", "n", "block", "row", F.coalesce("root", "class_id").alias("label")), "labelled")
     second_links = _search(source, _visits(labelled, classes.select("class_id", "prefix"), percent), k, percent)
-    roots = components(first_links.unionByName(second_links))
+    joined = components(second_links).withColumnRenamed("node", "label")  # these links are between labels
 
-    ids = classes.select("class_id", "least", "row").join(roots.withColumnRenamed("node", "class_id"), "class_id", "left") \
-        .withColumn("root", F.coalesce("root", "class_id"))
+    ids = classes.select("class_id", "least", "row").join(labelled.select("class_id", "label"), "class_id") \
+        .join(joined, "label", "left").withColumn("root", F.coalesce("root", "label"))
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("kept"))
     ids = ids.join(least, "root").select("class_id", "component_id", "kept")
     return signed.join(ids, "class_id", "left").select(
@@ -221,7 +221,7 @@ def _block_search(percent: int):
 
 def _signer(k: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = sketch.value
+        rank = sketch.value.astype(np.uint64)
         mask = np.uint64(len(rank) - 1)
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -265,18 +265,27 @@ def _sketch(source: DataFrame, k: int) -> np.ndarray:
             [pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()),
              pa.array([p.astype(np.int64).tobytes() for p in parts], pa.binary())], ["slice", "part", "counts"])
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << CELL_BITS) // SLICES, np.int64)
+    def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        counts = np.zeros((1 << CELL_BITS) // SLICES, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
+                counts += np.frombuffer(x.as_buffer(), np.int64)
+        return counts
+
+    def one(key: tuple, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()),
-                                          pa.array([total.tobytes()], pa.binary())], ["slice", "part", "counts"])
+                                          pa.array([counts.tobytes()], pa.binary())], ["slice", "part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from one(key, total(batches))
+
+    def rank(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from one(key, (total(batches).astype(np.float32).view(np.uint32) >> np.uint32(15)).astype(np.uint16))
 
     schema = "slice int, part int, counts binary"
-    counts = source.select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema) \
-        .withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(add, schema).collect()
-    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.int64)
-    for row in counts:
-        cells[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return (cells.reshape(-1).astype(np.float32).view(np.uint32) >> np.uint32(15)).astype(np.uint64)
+    ranks = source.select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema) \
+        .withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(rank, schema).collect()
+    cells = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint16)
+    for row in ranks:
+        cells[row["slice"]] = np.frombuffer(row["counts"], np.uint16)
+    return cells.reshape(-1)
