@@ -16,6 +16,8 @@ from urlsieve.operators import pages as P
 from urlsieve.operators import ratelimit as R
 from urlsieve.operators import similar as S
 from urlsieve.plans import progressive as PR
+from urlsieve.registry import explain_queries as EQ
+from urlsieve.registry import views
 
 
 def requests(seed=3):
@@ -135,6 +137,38 @@ def test_similar_cases_of_one_kind_are_met_once(spark):
                    [(i - i % 2, 1.0), (None, 0.9091), (None, 0.9091)] for i in range(n)}
 
 
+def any_similar(sets):
+    """The three best of all cases that share a token, by row; the rows are the cases."""
+    out = {}
+    for i, a in sets.items():
+        scored = [(-len(a & b) / len(a | b), j) for j, b in sets.items() if a & b]
+        out[i] = [(j, round(-s, 6)) for s, j in sorted(scored)[:3]]
+    return out
+
+
+def test_similar_cases_without_a_floor(spark):
+    rng = random.Random(4)
+    rows = [(i, sorted({"everywhere", *[f"w{int(rng.expovariate(0.02))}" for _ in range(rng.choice([0, 1, 3, 8, 20]))]})) for i in range(150)]
+    rows += [(150, ["alone"]), (151, ["pair", *[f"x{i}" for i in range(20)]]), (152, ["pair", "y", "z"]), (153, [])]
+    d = spark.createDataFrame([(i, t, "benign") for i, t in rows], "row_id long, tokens array<string>, label string").cache()
+    found = S.similar_cases(d, d.select(F.col("row_id").alias("case_id"), "label", "tokens"), floor=0.0)
+    got = {r.row_id: [(c.case_id, round(c.similarity, 6)) for c in r.cases] for r in found.collect()}
+    assert got == any_similar({i: set(t) for i, t in rows})
+    assert min(s for cases in got.values() for _, s in cases) < 0.1
+
+
+def test_query_of_similar_cases_lists_cases_of_any_similarity(spark, tmp_path):
+    urls = ["http://www.alpha.com/login", "https://other.org/a/b/c?x=1", "http://lonely-place.net/some/very/long/path/of/words", "ftp.net"]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string") \
+        .write.parquet(str(tmp_path / "pages.parquet"))
+    got = defaultdict(list)
+    for r in EQ.similar_cases(spark, str(tmp_path)).orderBy("row_id", "rank").collect():
+        got[r.row_id].append((r.case_id, r.similarity))
+    sets = {r.row_id: set(r.tokens) for r in with_tokens(views.urls(spark, str(tmp_path))).collect()}
+    assert got == any_similar(sets)
+    assert min(s for cases in got.values() for _, s in cases) < 0.5
+
+
 def test_global_rank_with_copies(spark):
     d = PR.ordered(url_frame(spark, urls()))
     rows = d.orderBy("order_key", "row_id").collect()
