@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from urlsieve import constants as K
 from urlsieve.functions.tokens import with_tokens
+from urlsieve.operators import explain as X
 from urlsieve.operators import features as FE
 from urlsieve.operators import lexicon as L
 from urlsieve.operators import model as M
@@ -16,6 +17,7 @@ from urlsieve.operators import pages as P
 from urlsieve.operators import ratelimit as R
 from urlsieve.operators import similar as S
 from urlsieve.plans import progressive as PR
+from urlsieve.plans.scoring import explain_urls
 from urlsieve.registry import explain_queries as EQ
 from urlsieve.registry import views
 
@@ -169,6 +171,20 @@ def test_query_of_similar_cases_lists_cases_of_any_similarity(spark, tmp_path):
     assert min(s for cases in got.values() for _, s in cases) < 0.5
 
 
+def test_explanations_compute_saliency_once(spark):
+    urls = url_frame(spark, ["http://login.shop.example/verify", "http://news.example/a?b=1", None, "http://login.shop.example/verify"])
+    urls = urls.unionByName(urls.filter("row_id = 1"))  # keys may repeat
+    weights = spark.createDataFrame([("char:log", 0.5), ("char:ogin", -0.25), ("char:new", 1.0)], "gram string, weight double")
+    words = spark.createDataFrame([("common", "tok:login", 2.0), ("phishing", "tok:verify", 3.0)], "scope string, token string, score double")
+    base = with_tokens(urls).join(X.char_saliency(urls, weights), "row_id").withColumn("prediction", F.lit("phishing"))
+    once = base.withColumn("token_items", X.token_items(base.columns)).drop("text", "char_scores")
+    rows = lambda d: sorted(map(str, X.token_rows(d, words).collect()))
+    assert rows(once) == rows(base) and len(rows(base)) > 40
+    found = explain_urls(urls, words, weights, S.case_index(urls.withColumn("type", F.lit("benign")), "row_id"))
+    assert found.count() >= 5
+    assert "gram#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_global_rank_with_copies(spark):
     d = PR.ordered(url_frame(spark, urls()))
     rows = d.orderBy("order_key", "row_id").collect()
